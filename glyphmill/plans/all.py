@@ -1,4 +1,4 @@
 """Importing this module registers every query."""
 
-from glyphmill.plans import curation  # noqa: F401
+from glyphmill.plans import curation, evaluation, profiling  # noqa: F401
 from glyphmill.plans.catalog import CATALOG  # noqa: F401
