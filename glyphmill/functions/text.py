@@ -114,7 +114,7 @@ def clean_markup(c: Column | str, script: str = r"\x{900}-\x{97F}", media: Itera
         (r"<[^\n]*?>", ""),
         (rf"\[\[(?:{'|'.join(media)}):[^\n]*?\]\]", ""),
         (r"\[\[(?:[^|\]]*\|)?([^\]]+)\]\]", "$1"),
-        (rf"(?U)[^{script}\s\x1C-\x1F\x{964},-]", " "),
+        (rf"(?U)[^{script}\s\x1C-\x1F\x{{964}},-]", " "),
         (rf"(?U){SPACES}+", " "),
     )
     for pattern, replacement in steps:
