@@ -1,4 +1,4 @@
 """Importing this module registers every query."""
 
-from glyphmill.plans import correction, curation, evaluation, profiling, text  # noqa: F401
+from glyphmill.plans import correction, curation, evaluation, profiling, series, serving, text  # noqa: F401
 from glyphmill.plans.catalog import CATALOG  # noqa: F401

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from glyphmill.operators import correction as K
 from glyphmill.operators import profiling as P
 from glyphmill.plans.catalog import query
-from glyphmill.plans.inputs import BENCH, WORDS, bench_words, levenshtein_sql, table, tokens
+from glyphmill.plans.inputs import BENCH, WORDS, bench_words, levenshtein_sql, near_sql, table, tokens
 from glyphmill.plans.profiling import CHAR_LIST, CHAR_LM, SCORE, docs, grams_sql
 from glyphmill.session import spread
 
@@ -19,19 +19,6 @@ def turn_words(spark, sf):
 TURN_WORDS = r"""tw AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(text, '[ \n\t\r]+'), lambda t: t <> '')) AS word FROM conversations)"""
 
 
-def near_sql(left: str, right: str) -> str:
-    """All pairs of different words one edit apart: one is the other without a
-    character, or both are equal once the same position is masked."""
-    drop = "substr(word, 1, i - 1) || substr(word, i + 1)"
-    mask = "substr(word, 1, i - 1) || chr(1) || substr(word, i + 1)"
-    steps = lambda t: f"(SELECT word, unnest(range(1, length(word) + 1)) AS i FROM {t})"
-    return f"""near AS (
-      SELECT DISTINCT l.word, r.word AS candidate FROM (SELECT word, {drop} AS s FROM {steps(left)}) l JOIN {right} r ON r.word = l.s
-      UNION SELECT DISTINCT l.word, r.word FROM {left} l JOIN (SELECT word, {drop} AS s FROM {steps(right)}) r ON l.word = r.s
-      UNION SELECT DISTINCT l.word, r.word FROM (SELECT word, {mask} AS s FROM {steps(left)}) l
-        JOIN (SELECT word, {mask} AS s FROM {steps(right)}) r ON l.s = r.s)"""
-
-
 DICT = f"""{WORDS}, dict AS (SELECT text_nfc AS word, count(*) AS freq FROM words GROUP BY text_nfc ORDER BY freq DESC, word LIMIT 100000)"""
 CANDIDATES = f"""{TURN_WORDS}, miss AS (SELECT word FROM tw WHERE word NOT IN (SELECT word FROM dict)), {near_sql('miss', 'dict')},
  cand AS (

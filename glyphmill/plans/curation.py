@@ -18,7 +18,7 @@ from glyphmill.plans.inputs import (
     bench_words,
     doc_words,
     label_rows,
-    levenshtein_sql,
+    near_sql,
     page_dims,
     table,
     tally,
@@ -259,12 +259,10 @@ def _(spark, sf):
 @query(
     "near_dup_audit",
     "C8",
-    f"""WITH {WORDS}, {BENCH}, a AS (SELECT DISTINCT text_nfc AS t, length(text_nfc) AS n FROM words),
-    b AS (SELECT DISTINCT text_nfc AS t, length(text_nfc) AS n FROM bench),
-    p AS (SELECT a.t AS left_text, b.t AS right_text,
-        CASE WHEN a.t = b.t THEN 0 ELSE {levenshtein_sql('a.t', 'b.t')} END AS distance
-      FROM a JOIN b ON abs(a.n - b.n) <= 1)
-    SELECT left_text, right_text, CAST(distance AS INT) AS distance FROM p WHERE distance <= 1""",
+    f"""WITH {WORDS}, {BENCH}, a AS (SELECT DISTINCT text_nfc AS word FROM words),
+    b AS (SELECT DISTINCT text_nfc AS word FROM bench), {near_sql('a', 'b')}
+    SELECT word AS left_text, candidate AS right_text, 1 AS distance FROM near WHERE word <> candidate
+    UNION ALL SELECT word, word, 0 FROM a JOIN b USING (word)""",
 )
 def _(spark, sf):
     kept = words(spark, sf).select(F.col("text_nfc").alias("text"))
