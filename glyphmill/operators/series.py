@@ -243,12 +243,15 @@ def valley_gap_threshold(runs: DataFrame, low: int = 8, high: int = 60, chunk: i
         F.max(F.when(F.col("_next").isNotNull(), jump)).alias("_jump"),
     )
     middle = F.floor((F.col("_jump.to") - F.col("_jump.neg")) / 2)
-    threshold = F.when(F.col("_gaps") == 1, F.greatest(F.lit(low), F.col("_first") + 1)).otherwise(
-        F.greatest(F.lit(low), F.least(F.lit(high), F.coalesce(middle, F.col("_first"))))
+    clipped = F.greatest(F.lit(low), F.least(F.lit(high), F.coalesce(middle, F.col("_first"))))
+    threshold = (
+        F.when(F.col("_gaps").isNull(), F.lit(low))
+        .when(F.col("_gaps") == 1, F.greatest(F.lit(low), F.col("_first") + 1))
+        .otherwise(clipped)
     )
     series = runs.select("series_id").distinct()
     return series.join(found, "series_id", "left").select(
-        "series_id", F.coalesce(threshold, F.lit(low)).cast("int").alias("threshold")
+        "series_id", threshold.cast("int").alias("threshold")
     )
 
 

@@ -1,4 +1,14 @@
 """Importing this module registers every query."""
 
-from glyphmill.plans import correction, curation, evaluation, profiling, series, serving, text  # noqa: F401
+from glyphmill.plans import (  # noqa: F401
+    correction,
+    curation,
+    evaluation,
+    feeds,
+    profiling,
+    series,
+    serving,
+    sources,
+    text,
+)
 from glyphmill.plans.catalog import CATALOG  # noqa: F401
