@@ -1,9 +1,8 @@
 """Signal steps over ordered series: thresholds, smoothing, runs, decoding.
 
-A profile has ``series_id, pos, value``. Windows never span a whole series:
-positions are cut into chunks, every chunk sees a few neighbours across its
-border, and what has to run along the series (numbering of runs, the last run
-before a chunk) is carried over from chunk to chunk on one row per chunk.
+A profile has ``series_id, pos, value``. Windows over positions never span a
+whole series: positions are cut into chunks, and what crosses a border is
+settled on a second level that sees the first and last run of every chunk only.
 """
 
 from __future__ import annotations
@@ -148,55 +147,60 @@ def moving_average(profile: DataFrame, reach: int = 2, edges: str = "zero", chun
     return rows.withColumn("smooth", mean).filter("_own").select("series_id", "pos", F.col("smooth").alias("value"))
 
 
-def _number(rows: DataFrame, starts: Column, order: str) -> DataFrame:
-    """Number the runs along every series: add ``_run``, the count of ``starts``
-    so far. Chunks are counted first, then carried along."""
-    marked = rows.withColumn("_start", starts.cast("int")).filter("_own")
-    along = Window.partitionBy("series_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        marked.groupBy(*CHUNK_KEYS)
-        .agg(F.sum("_start").alias("_n"))
-        .select(*CHUNK_KEYS, F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_before"))
-    )
-    inside = Window.partitionBy(*CHUNK_KEYS).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return marked.join(offsets, list(CHUNK_KEYS)).withColumn(
-        "_run", F.col("_before") + F.sum("_start").over(inside)
-    )
+def _border_group() -> Column:
+    """Group of a row for the second level: the first and the last run of every
+    chunk meet per series, all others stay with their chunk."""
+    chunk = Window.partitionBy(*CHUNK_KEYS)
+    border = (F.col("_n") == 1) | (F.col("_n") == F.max("_n").over(chunk))
+    return F.when(border, F.lit(-1)).otherwise(F.col("_chunk"))
 
 
-def runs_above(profile: DataFrame, threshold: Column | float = 0, chunk: int = CHUNK) -> DataFrame:
-    """Maximal runs ``[start, end)`` of consecutive positions above a threshold."""
-    kept = profile.filter(F.col("value") > threshold).select("series_id", "pos")
-    pos = F.col("pos")
-    rows = _with_neighbours(kept, _chunk_of(pos, chunk), F.array(_chunk_of(pos + 1, chunk)))
-    before = F.lag("pos").over(Window.partitionBy(*CHUNK_KEYS).orderBy("pos"))
-    starts = F.coalesce(pos - before > 1, F.lit(True))
+def _merge(runs: DataFrame, gap: int, keys: tuple[str, str]) -> DataFrame:
+    """Merge runs nearer than ``gap`` to the one before, within ``keys``."""
+    along = Window.partitionBy(*keys).orderBy("start")
+    new = F.coalesce(F.col("start") - F.lag("end").over(along) >= gap, F.lit(True)).cast("int")
+    upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        _number(rows, starts, "pos")
-        .groupBy("series_id", "_run")
-        .agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"))
-        .drop("_run")
+        runs.withColumn("_new", new)
+        .withColumn("_n", F.sum("_new").over(upto))
+        .groupBy(*keys, "_n")
+        .agg(F.min("start").alias("start"), F.max("end").alias("end"))
     )
 
 
 def merge_close_runs(runs: DataFrame, gap: int = 8, chunk: int = CHUNK) -> DataFrame:
     """Merge runs whose distance to the run before is below ``gap``.
 
-    ``gap`` must not exceed the chunk width: a run is shown to the chunks where
-    a follower near enough may start.
+    Runs are merged inside their chunk first. What is left to merge lies between
+    the last run of one chunk and the first of the next, two rows per chunk.
     """
-    if gap > chunk:
-        raise ValueError("gap must not exceed the chunk width")
-    end = F.col("end")
-    near = F.array(_chunk_of(end, chunk), _chunk_of(end + gap, chunk))
-    rows = _with_neighbours(runs, _chunk_of(F.col("start"), chunk), near)
-    before = F.lag("end").over(Window.partitionBy(*CHUNK_KEYS).orderBy("start"))
-    starts = F.coalesce(F.col("start") - before >= gap, F.lit(True))
-    return (
-        _number(rows, starts, "start")
-        .groupBy("series_id", "_run")
-        .agg(F.min("start").alias("start"), F.max("end").alias("end"))
-        .drop("_run")
+    rows = runs.select("series_id", "start", "end", _chunk_of(F.col("start"), chunk).alias("_chunk"))
+    inside = _merge(rows, gap, CHUNK_KEYS).withColumn("_group", _border_group())
+    return _merge(inside, gap, ("series_id", "_group")).select("series_id", "start", "end")
+
+
+def runs_above(profile: DataFrame, threshold: Column | float = 0, chunk: int = CHUNK) -> DataFrame:
+    """Maximal runs ``[start, end)`` of consecutive positions above a threshold.
+
+    64 positions fold into one bit map each before anything is shuffled; runs
+    are read off the bits, and those that touch at a border are merged.
+    """
+    pos = F.col("pos")
+    bits = (
+        profile.filter(F.col("value") > threshold)
+        .groupBy("series_id", F.floor(pos / 64).alias("_word"))
+        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(pos, F.lit(64)).cast("int"))).alias("_bits"))
+    )
+    places = F.sequence(F.lit(0), F.lit(63))
+    is_set = lambda i: F.call_function("getbit", F.col("_bits"), i) == 1
+    starts = F.filter(places, lambda i: is_set(i) & ((i == 0) | ~is_set(F.greatest(i - 1, F.lit(0)))))
+    ends = F.filter(places, lambda i: is_set(i) & ((i == 63) | ~is_set(F.least(i + 1, F.lit(63)))))
+    pieces = bits.select("series_id", "_word", F.explode(F.arrays_zip(starts.alias("s"), ends.alias("e"))).alias("r"))
+    first = F.col("_word") * 64
+    return merge_close_runs(
+        pieces.select("series_id", (first + F.col("r.s")).alias("start"), (first + F.col("r.e") + 1).alias("end")),
+        1,
+        chunk,
     )
 
 
@@ -206,19 +210,18 @@ def drop_short_runs(runs: DataFrame, min_length: int) -> DataFrame:
 
 def gaps(runs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Distances between consecutive runs: ``series_id, start, gap``, one row
-    per run but the first."""
-    rows = runs.withColumn("_chunk", _chunk_of(F.col("start"), chunk))
-    inside = F.lag("end").over(Window.partitionBy(*CHUNK_KEYS).orderBy("start"))
-    along = Window.partitionBy("series_id").orderBy("_chunk")
-    carried = (
-        rows.groupBy(*CHUNK_KEYS)
-        .agg(F.max("end").alias("_last"))
-        .select(*CHUNK_KEYS, F.lag("_last").over(along).alias("_carried"))
+    per run but the first. The first run of a chunk looks back to the last run
+    of a chunk before it on the second level."""
+    inside = Window.partitionBy(*CHUNK_KEYS).orderBy("start")
+    rows = (
+        runs.select("series_id", "start", "end", _chunk_of(F.col("start"), chunk).alias("_chunk"))
+        .withColumns({"_before": F.lag("end").over(inside), "_n": F.row_number().over(inside)})
+        .withColumn("_group", _border_group())
     )
+    across = F.lag("end").over(Window.partitionBy("series_id", "_group").orderBy("start"))
     return (
-        rows.withColumn("_inside", inside)
-        .join(carried, list(CHUNK_KEYS))
-        .withColumn("gap", F.col("start") - F.coalesce("_inside", "_carried"))
+        rows.withColumn("_across", across)
+        .withColumn("gap", F.col("start") - F.coalesce("_before", "_across"))
         .filter(F.col("gap").isNotNull())
         .select("series_id", "start", "gap")
     )

@@ -8,7 +8,7 @@ from glyphmill.operators import correction as K
 from glyphmill.operators import profiling as P
 from glyphmill.plans.catalog import query
 from glyphmill.plans.inputs import BENCH, WORDS, bench_words, levenshtein_sql, near_sql, table, tokens
-from glyphmill.plans.profiling import CHAR_LIST, CHAR_LM, SCORE, docs, grams_sql
+from glyphmill.plans.profiling import CHAR_LIST, CHAR_LM, SCORE, char_model, docs, grams_sql
 from glyphmill.session import spread
 
 
@@ -64,14 +64,13 @@ def small_dictionary(spark, sf):
     SELECT text_id, string_agg(fixed, ' ' ORDER BY pos) AS corrected_text FROM t JOIN best USING (word) GROUP BY text_id""",
 )
 def _(spark, sf):
-    corpus = docs(spark, sf)
-    counts = P.ngram_counts(corpus)
+    counts = char_model(spark, sf)
     fixes = K.correct_words(
         turn_words(spark, sf),
         small_dictionary(spark, sf),
         counts,
         P.context_counts(counts),
-        P.vocab_size(corpus),
+        P.vocab_size(counts),
         "en",
     )
     texts = table(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("text_id"), "text")

@@ -10,7 +10,7 @@ from glyphmill.operators import profiling as P
 from glyphmill.operators import quality as Q
 from glyphmill.plans.catalog import query
 from glyphmill.plans.inputs import BENCH, WORDS, bench_words, table, words
-from glyphmill.session import spread
+from glyphmill.session import materialize, spread
 
 
 def docs(spark, sf):
@@ -138,6 +138,12 @@ def _(spark, sf):
     return joined(P.prune_ngrams(P.ngram_counts(docs(spark, sf), 2, "word")))
 
 
+def char_model(spark, sf):
+    """Trigram counts of the documents. A model is read several times, so it is
+    stored once, as ``save_lm`` would."""
+    return materialize(P.ngram_counts(docs(spark, sf)), "lm")
+
+
 SCORE = """sum(ln((coalesce(cnt, 0) + 0.01::DOUBLE) / (coalesce(ctx_cnt, 0) + 0.01::DOUBLE * (SELECT v FROM v))))"""
 
 
@@ -148,10 +154,9 @@ SCORE = """sum(ln((coalesce(cnt, 0) + 0.01::DOUBLE) / (coalesce(ctx_cnt, 0) + 0.
     SELECT key AS text_id, round({SCORE}, 5) AS score FROM q LEFT JOIN counts USING (ctx, target) LEFT JOIN contexts USING (ctx) GROUP BY key""",
 )
 def _(spark, sf):
-    corpus = docs(spark, sf)
-    counts = P.ngram_counts(corpus)
+    counts = char_model(spark, sf)
     texts = spread(table(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("text_id"), "text"))
-    scores = P.lm_score(texts, counts, P.context_counts(counts), P.vocab_size(corpus))
+    scores = P.lm_score(texts, counts, P.context_counts(counts), P.vocab_size(counts))
     return scores.withColumn("score", F.round("score", 5))
 
 
@@ -166,10 +171,9 @@ def _(spark, sf):
     SELECT prompt, rank, target, round(prob, 9) AS prob FROM r WHERE rank <= 5""",
 )
 def _(spark, sf):
-    corpus = docs(spark, sf)
-    counts = P.ngram_counts(corpus)
+    counts = char_model(spark, sf)
     prompts = bench_words(spark, sf).select(F.col("text_nfc").alias("prompt"))
-    found = P.most_likely_next(prompts, counts, P.context_counts(counts), P.vocab_size(corpus))
+    found = P.most_likely_next(prompts, counts, P.context_counts(counts), P.vocab_size(counts))
     return found.withColumn("prob", F.round("prob", 9))
 
 
