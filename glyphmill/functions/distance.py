@@ -11,8 +11,8 @@ from glyphmill.functions.text import word_tokens
 
 
 def edit_distance_chars(a: Column, b: Column) -> Column:
-    """Levenshtein distance by code point."""
-    return F.levenshtein(a, b)
+    """Levenshtein distance by code point; equal texts skip the computation."""
+    return F.when(a == b, 0).otherwise(F.levenshtein(a, b))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -67,7 +67,8 @@ def wer(prediction: Column, target: Column) -> Column:
         empty = F.when(F.size(p) == 0, 0.0).otherwise(1.0)
         return _clipped(edit_distance_words(p, t), F.size(t), empty)
 
-    return let(F.struct(word_tokens(prediction).alias("p"), word_tokens(target).alias("t")), rate)
+    words = F.struct(word_tokens(prediction).alias("p"), word_tokens(target).alias("t"))
+    return F.when(prediction == target, 0.0).otherwise(let(words, rate))
 
 
 def crr_clipped(reference: Column, hypothesis: Column, empty_policy: str = "zero") -> Column:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.functions.distance import cer, wer
+from glyphmill.functions.distance import cer, edit_distance_chars, wer
 from glyphmill.functions.text import length_bucket, normalize_text, scrub_prediction
 from glyphmill.operators.ranking import first_n_per_group, shuffle_key
 
@@ -66,7 +66,7 @@ def crr_micro(scored: DataFrame, by: Sequence[str] = GRID) -> DataFrame:
     """Corpus-level ``max(0, 1 - sum of distances / sum of lengths)``; 0 when
     there are no characters."""
     sums = scored.groupBy(*by).agg(
-        F.sum(F.levenshtein("prediction", "target")).alias("edits"),
+        F.sum(edit_distance_chars(F.col("prediction"), F.col("target"))).alias("edits"),
         F.sum(F.length("target")).alias("chars"),
     )
     rate = F.greatest(F.lit(0.0), 1.0 - F.col("edits") / F.col("chars"))

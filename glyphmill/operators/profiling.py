@@ -102,31 +102,26 @@ def _tokens(text: Column | str, level: str) -> Column:
     return char_tokens(text) if level == "char" else word_tokens(text)
 
 
-def _ngrams(text: Column | str, n: int, level: str) -> Column:
-    """All n-grams of the padded token list as ``struct(ctx, target)``."""
-    padded = F.concat(
-        F.array(*[F.lit(START)] * (n - 1)).cast("array<string>"), _tokens(text, level), F.array(F.lit(END))
-    )
-    # Bind the padded list once; the slices below would rebuild it each time.
-    grams = F.transform(
-        F.array(padded),
-        lambda t: F.transform(
-            F.sequence(F.lit(1), F.size(t) - (n - 1)),
-            lambda i: F.struct(
-                F.slice(t, i, F.lit(n - 1)).alias("ctx"), F.element_at(t, i + (n - 1)).alias("target")
-            ),
-        ),
-    )
-    return F.get(grams, 0)
+def _ngrams(rows: DataFrame, text: str, n: int, level: str, *keep: str) -> DataFrame:
+    """``keep..., t0 .. t(n-1)``: every n-gram of the padded token list, as n
+    shifted copies of the list side by side."""
+    pads = F.array(*[F.lit(START)] * (n - 1)).cast("array<string>")
+    padded = rows.select(*keep, F.concat(pads, _tokens(text, level), F.array(F.lit(END))).alias("_t"))
+    count = F.size("_t") - (n - 1)
+    shifted = [F.slice("_t", i + 1, count).alias(f"t{i}") for i in range(n)]
+    return padded.select(*keep, F.inline(F.arrays_zip(*shifted)))
+
+
+def _gram_counts(grams: DataFrame, n: int, name: str, *keep: str) -> DataFrame:
+    """Count n-grams on their plain columns; the context becomes an array after."""
+    counted = grams.groupBy(*keep, *[f"t{i}" for i in range(n)]).agg(F.count(F.lit(1)).alias(name))
+    ctx = F.array(*[F.col(f"t{i}") for i in range(n - 1)]).cast("array<string>")
+    return counted.select(*keep, ctx.alias("ctx"), F.col(f"t{n - 1}").alias("target"), name)
 
 
 def ngram_counts(rows: DataFrame, n: int = 3, level: str = "char", text: str = "text") -> DataFrame:
     """``ctx, target, cnt`` with every row padded on its own."""
-    return (
-        rows.select(F.explode(_ngrams(text, n, level)).alias("g"))
-        .groupBy("g.ctx", "g.target")
-        .agg(F.count(F.lit(1)).alias("cnt"))
-    )
+    return _gram_counts(_ngrams(rows, text, n, level), n, "cnt")
 
 
 def prune_ngrams(counts: DataFrame, min_count: int = 2, keep_rare_contexts: bool = True) -> DataFrame:
@@ -167,11 +162,7 @@ def lm_score(
     The n-grams of a text are counted before the join, so a text brings each of
     them once. An unseen context counts 0; a model without any token yields null.
     """
-    grams = (
-        texts.select(key, F.explode(_ngrams(text, n, level)).alias("g"))
-        .groupBy(key, "g.ctx", "g.target")
-        .agg(F.count(F.lit(1)).alias("times"))
-    )
+    grams = _gram_counts(_ngrams(texts, text, n, level, key), n, "times", key)
     size = F.nullif(v.scalar(), F.lit(0))
     probability = (F.coalesce(F.col("cnt"), F.lit(0)) + F.lit(k)) / (
         F.coalesce(F.col("ctx_cnt"), F.lit(0)) + F.lit(k) * size

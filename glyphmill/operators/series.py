@@ -191,17 +191,22 @@ def runs_above(profile: DataFrame, threshold: Column | float = 0, chunk: int = C
         .groupBy("series_id", F.floor(pos / 64).alias("_word"))
         .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(pos, F.lit(64)).cast("int"))).alias("_bits"))
     )
-    places = F.sequence(F.lit(0), F.lit(63))
-    is_set = lambda i: F.call_function("getbit", F.col("_bits"), i) == 1
-    starts = F.filter(places, lambda i: is_set(i) & ((i == 0) | ~is_set(F.greatest(i - 1, F.lit(0)))))
-    ends = F.filter(places, lambda i: is_set(i) & ((i == 63) | ~is_set(F.least(i + 1, F.lit(63)))))
-    pieces = bits.select("series_id", "_word", F.explode(F.arrays_zip(starts.alias("s"), ends.alias("e"))).alias("r"))
+    word = F.col("_bits")
+    opening = word.bitwiseAND(F.bitwise_not(F.shiftleft(word, 1)))
+    closing = word.bitwiseAND(F.bitwise_not(F.shiftrightunsigned(word, 1)))
+    places = F.array(*[F.lit(i) for i in range(64)])
+    set_bits = lambda w: F.filter(places, lambda i: F.call_function("getbit", w, i) == 1)
+    ends = bits.select("series_id", "_word", opening.alias("_open"), closing.alias("_close"))
+    zipped = F.arrays_zip(set_bits(F.col("_open")).alias("s"), set_bits(F.col("_close")).alias("e"))
     first = F.col("_word") * 64
-    return merge_close_runs(
-        pieces.select("series_id", (first + F.col("r.s")).alias("start"), (first + F.col("r.e") + 1).alias("end")),
-        1,
-        chunk,
+    pieces = ends.select("series_id", "_word", F.explode(zipped).alias("r")).select(
+        "series_id",
+        (first + F.col("r.s")).alias("start"),
+        (first + F.col("r.e") + 1).alias("end"),
+        ((F.col("r.s") == 0) | (F.col("r.e") == 63)).alias("_border"),
     )
+    done = pieces.filter(~F.col("_border")).drop("_border")
+    return done.unionByName(merge_close_runs(pieces.filter("_border"), 1, chunk))
 
 
 def drop_short_runs(runs: DataFrame, min_length: int) -> DataFrame:
