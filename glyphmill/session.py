@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,14 +46,17 @@ def local_session(cores: int | str = "*", app: str = "glyphmill", **conf: str) -
     return tune(spark)
 
 
+@cache
+def _own_scratch(application: str) -> str:
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Folder shared by all executors: the one the session names in
-    ``spark.checkpoint.dir``, or a temporary one where it names none."""
+    ``spark.checkpoint.dir``; where it names none, as on a single machine, a
+    temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    return (root or _own_scratch(spark.sparkContext.applicationId)).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
