@@ -72,8 +72,15 @@ def export_ngrams(counts: DataFrame) -> DataFrame:
     return counts.select(F.array_join("ctx", "|||").alias("ctx"), "target", "cnt")
 
 
-def import_ngrams(rows: DataFrame, n: int) -> DataFrame:
-    ctx = F.when(F.lit(n) == 1, F.array().cast("array<string>")).otherwise(F.split("ctx", r"\|\|\|"))
+def import_ngrams(rows: DataFrame, n: int, level: str = "char") -> DataFrame:
+    """Back from the interchange form. Characters are read one by one, so a pipe
+    among them does no harm; a word must not contain ``|||``."""
+    if n == 1:
+        ctx = F.array().cast("array<string>")
+    elif level == "char":
+        ctx = F.regexp_extract_all("ctx", F.lit(r"(<s>|[\s\S])(?:\|\|\||\z)"), F.lit(1))
+    else:
+        ctx = F.split("ctx", r"\|\|\|")
     return rows.select(ctx.alias("ctx"), "target", "cnt")
 
 
