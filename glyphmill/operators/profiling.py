@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions.text import char_tokens, word_tokens
-from glyphmill.operators.ranking import take_first
+from glyphmill.operators.ranking import running_total, take_first
+from glyphmill.session import join_lookup
 
 START, END = "<s>", "</s>"
 
@@ -21,12 +22,27 @@ def char_frequency(rows: DataFrame, text: str = "text") -> DataFrame:
 
 
 def numeric_summary(rows: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Min, truncated exact median and max; nulls when there are no values."""
-    return rows.groupBy(*by).agg(
-        F.min(value).alias("min"),
-        F.percentile(value, F.lit(0.5)).cast("int").alias("median"),
-        F.max(value).alias("max"),
+    """Min, truncated exact median and max per group; nulls without any value.
+
+    Values are counted first, then the counts are summed up along the order, so
+    the median is read off a running total and no group is held in one task.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    summed = running_total(counts, [value], F.col("_n"), by, "_upto")
+    totals = summed.groupBy(*by).agg(
+        F.max("_upto").alias("_total"), F.min(value).alias("min"), F.max(value).alias("max")
     )
+    middle = (F.col("_total") - 1) / 2
+    at = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col(value)))
+    median = ((at(F.floor(middle)) + at(F.ceil(middle))) / 2).cast("int")
+    if by:
+        joined = join_lookup(summed, totals, list(by))
+    else:
+        joined = summed.withColumn("_t", totals.select(F.struct("*")).scalar()).select("*", "_t.*")
+    found = joined.groupBy(*by).agg(F.min("min").alias("min"), median.alias("median"), F.max("max").alias("max"))
+    if not by:
+        return found
+    return rows.select(*by).distinct().join(found, list(by), "left")
 
 
 def dataset_summary(samples: DataFrame, inspect_limit: int = 1000) -> DataFrame:

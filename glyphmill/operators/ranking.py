@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.session import materialize
+from glyphmill.session import join_lookup, materialize
 
 # Spark keeps only the first n rows of a group before the shuffle up to this n
 # (spark.sql.optimizer.windowGroupLimitThreshold).
@@ -52,8 +52,10 @@ def hash_cutoff(
         .select(*by, "_bin", (F.col("_k") - F.col("_upto") + F.col("_n")).alias("_nth"))
     )
     inside = Window.partitionBy(*by, "_bin").orderBy("_key")
+    # Without groups there is one bin to look into; with groups, one per group.
+    near = join_lookup(keyed, bins, [*by, "_bin"]) if by else keyed.join(F.broadcast(bins), "_bin")
     return (
-        keyed.join(bins, [*by, "_bin"])
+        near
         .withColumn("_rn", F.row_number().over(inside))
         .filter(F.col("_rn") == F.col("_nth"))
         .select(*by, F.col("_key").alias("cutoff"))
@@ -74,7 +76,7 @@ def flag_first(
     """
     cut = hash_cutoff(population if population is not None else df, key, take, by)
     if by:
-        joined = df.join(cut, list(by), "left")
+        joined = join_lookup(df, cut, list(by), "left")
         chosen = F.coalesce(F.col(key) <= F.col("cutoff"), F.lit(False))
         return joined.withColumn(flag, chosen).drop("cutoff")
     return df.withColumn(flag, F.coalesce(F.col(key) <= cut.scalar(), F.lit(False)))
@@ -115,7 +117,7 @@ def running_total(
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     return (
-        ranged.join(offsets, [*by, "_range"])
+        join_lookup(ranged, offsets, [*by, "_range"])
         .withColumn(name, F.col("_before") + F.sum("_value").over(inside))
         .drop("_value", "_range", "_before")
     )
