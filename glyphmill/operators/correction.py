@@ -13,6 +13,7 @@ from glyphmill.functions.scripts import is_valid_script, phonetic_repair
 from glyphmill.functions.text import word_tokens
 from glyphmill.operators.matching import near_pairs
 from glyphmill.operators.profiling import lm_score
+from glyphmill.session import materialize
 
 
 def dictionary_candidates(words: DataFrame, dictionary: DataFrame, k: int = 1) -> DataFrame:
@@ -22,19 +23,18 @@ def dictionary_candidates(words: DataFrame, dictionary: DataFrame, k: int = 1) -
     words within k edits, or itself (distance null) when there are none.
     ``dictionary``: ``word, freq``.
     """
-    distinct = words.select("word").distinct()
-    known = distinct.join(dictionary, "word").select(
-        "word", F.col("word").alias("candidate"), F.lit(0).alias("distance"), "freq"
+    tagged = materialize(words.select("word").distinct().join(dictionary, "word", "left"), "words")
+    missing = tagged.filter(F.col("freq").isNull()).select(F.col("word").alias("text"))
+    near = near_pairs(missing, dictionary.select(F.col("word").alias("text")), k)
+    # Only words that are not in the dictionary have near ones.
+    found = near.join(dictionary.select(F.col("word").alias("right_text"), F.col("freq").alias("_freq")), "right_text")
+    options = tagged.join(found, F.col("word") == F.col("left_text"), "left")
+    return options.select(
+        "word",
+        F.coalesce("right_text", "word").alias("candidate"),
+        F.when(F.col("freq").isNotNull(), 0).otherwise(F.col("distance")).alias("distance"),
+        F.coalesce("freq", "_freq", F.lit(0)).alias("freq"),
     )
-    missing = distinct.join(dictionary, "word", "left_anti")
-    near = near_pairs(missing.select(F.col("word").alias("text")), dictionary.select(F.col("word").alias("text")), k)
-    found = near.join(dictionary.withColumnRenamed("word", "right_text"), "right_text").select(
-        F.col("left_text").alias("word"), F.col("right_text").alias("candidate"), "distance", "freq"
-    )
-    lonely = missing.join(found, "word", "left_anti").select(
-        "word", F.col("word").alias("candidate"), F.lit(None).cast("int").alias("distance"), F.lit(0).cast("long").alias("freq")
-    )
-    return known.unionByName(found).unionByName(lonely)
 
 
 def best_correction(candidates: DataFrame) -> DataFrame:

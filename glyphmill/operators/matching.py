@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.session import materialize
+
 SHORT = {1: 40, 2: 20}
 PIECES = 64
 
@@ -107,14 +109,15 @@ def _probe_keys(text: Column, k: int, longer_than: int) -> Column:
 def near_pairs(left: DataFrame, right: DataFrame, k: int = 1) -> DataFrame:
     """All pairs ``(left_text, right_text, distance)`` with distance <= k (1 or 2).
 
-    Both inputs have one column ``text``; they are made distinct first. A pair
-    takes the short way when the right text is short, else the long way.
+    Both inputs have one column ``text``; their distinct texts are stored first,
+    as each is read twice. A pair takes the short way when the right text is
+    short, else the long way.
     """
     if k not in SHORT:
         raise ValueError("k must be 1 or 2")
     short = SHORT[k]
-    a = left.select(F.col("text").alias("left_text")).distinct()
-    b = right.select(F.col("text").alias("right_text")).distinct()
+    a = materialize(left.select(F.col("text").alias("left_text")).distinct(), "left")
+    b = materialize(right.select(F.col("text").alias("right_text")).distinct(), "right")
     length_a, length_b = F.length("left_text"), F.length("right_text")
 
     def keyed(frame: DataFrame, keep: Column, keys: Column) -> DataFrame:

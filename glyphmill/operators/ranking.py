@@ -72,9 +72,11 @@ def flag_first(
 ) -> DataFrame:
     """Add a boolean column: is the row among the first k of its group?
 
-    ``population`` holds the distinct keys to count, where ``df`` repeats them.
+    ``population`` holds the distinct keys to count, where ``df`` repeats them;
+    it is stored, as it is read twice and comes out of a shuffle.
     """
-    cut = hash_cutoff(population if population is not None else df, key, take, by)
+    counted = df if population is None else materialize(population, "keys")
+    cut = hash_cutoff(counted, key, take, by)
     if by:
         joined = join_lookup(df, cut, list(by), "left")
         chosen = F.coalesce(F.col(key) <= F.col("cutoff"), F.lit(False))

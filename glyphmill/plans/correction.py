@@ -9,7 +9,7 @@ from glyphmill.operators import profiling as P
 from glyphmill.plans.catalog import query
 from glyphmill.plans.inputs import BENCH, WORDS, bench_words, levenshtein_sql, near_sql, table, tokens
 from glyphmill.plans.profiling import CHAR_LIST, CHAR_LM, SCORE, char_model, docs, grams_sql
-from glyphmill.session import spread
+from glyphmill.session import materialize, spread
 
 
 def turn_words(spark, sf):
@@ -29,7 +29,7 @@ CANDIDATES = f"""{TURN_WORDS}, miss AS (SELECT word FROM tw WHERE word NOT IN (S
 
 @query("dictionary_candidates", "F1", f"WITH {DICT}, {CANDIDATES} SELECT word, candidate, distance, freq FROM cand")
 def _(spark, sf):
-    dictionary = P.top_words(docs(spark, sf))
+    dictionary = materialize(P.top_words(docs(spark, sf)), "dictionary")
     return K.dictionary_candidates(turn_words(spark, sf), dictionary, 1)
 
 
@@ -40,7 +40,7 @@ def _(spark, sf):
       PARTITION BY word ORDER BY distance, freq DESC, candidate) AS rn FROM cand) WHERE rn = 1""",
 )
 def _(spark, sf):
-    dictionary = P.top_words(docs(spark, sf))
+    dictionary = materialize(P.top_words(docs(spark, sf)), "dictionary")
     return K.best_correction(K.dictionary_candidates(turn_words(spark, sf), dictionary, 1))
 
 
