@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from glyphmill.operators import curation as C
 from glyphmill.operators import matching, pages, splits, suites
-from glyphmill.operators.ranking import shuffle_key
 from glyphmill.plans.catalog import query
 from glyphmill.plans.inputs import (
     BENCH,
@@ -16,7 +15,6 @@ from glyphmill.plans.inputs import (
     VOCAB,
     WORDS,
     bench_words,
-    doc_words,
     label_rows,
     near_sql,
     page_dims,

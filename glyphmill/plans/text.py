@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import scripts, text
 from glyphmill.plans.catalog import query
-from glyphmill.plans.inputs import VOCAB, WORDS, doc_words, table, tokens
+from glyphmill.plans.inputs import VOCAB, WORDS, doc_words, table
 from glyphmill.session import spread
 
 DISTINCT_WORDS = f"{WORDS}, dw AS (SELECT DISTINCT text_nfc AS word FROM words)"

@@ -3,7 +3,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from glyphmill.operators import evaluation as E
 from glyphmill.operators import profiling as P
