@@ -124,8 +124,8 @@ class _Block:
         the block or elsewhere. At the last: those with an earlier equal window."""
         order, new, group, count, bucket, _, _ = sent
         elsewhere = np.zeros(len(bucket), bool)
-        cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else []
-        for lo, hi in zip(cut, [*cut[1:], len(bucket)], strict=True):
+        cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, int)
+        for lo, hi in zip(cut, np.r_[cut[1:], len(bucket)], strict=False):
             bits = np.frombuffer(replies[int(bucket[lo])], np.uint8)
             elsewhere[lo:hi] = np.unpackbits(bits, count=hi - lo).astype(bool)
         flags = elsewhere[group] | ~new if last else (elsewhere | (count > 1))[group]
