@@ -86,7 +86,7 @@ def train(labelled: DataFrame, max_rows: int = 20_000, buckets: int = 1 << 14) -
     most = max((r["n"] for r in sized), default=1)
     weight = F.coalesce(*[F.when(F.col("label") == r["label"], F.lit(most / r["n"])) for r in sized], F.lit(1.0))
     framed = small.select("label", weight.alias("weight"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    fit = LogisticRegression(maxIter=40, regParam=0.01, weightCol="weight", standardization=False)
+    fit = LogisticRegression(maxIter=60, regParam=0.0005, weightCol="weight", standardization=False, fitIntercept=False)
     return fit.fit(_features(framed, buckets))
 
 
