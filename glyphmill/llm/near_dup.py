@@ -11,7 +11,8 @@ are never listed within a group. First, everything that shares a key is tried
 against the smallest class of the key only, and what is confirmed on the full
 shingle sets is joined into components. Then those members of a key that did not
 reach its smallest class are tried against all of that key that are in other
-components. A pair that is never tried is thus in one component already, or too
+components: pair by pair for keys of few members, else block against block, so
+that a large group of near copies sends each text to a few blocks only. A pair that is never tried is thus in one component already, or too
 far apart in its signature.
 
 Components are found by alternating large-star and small-star steps over links,
@@ -30,7 +31,9 @@ from glyphmill.session import materialize
 
 WIDTH = 5
 SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, sig binary, keys array<long>, sketch long"
-SETS = "a long, b long, shared long, n_a long, n_b long"
+LINK = "a long, b long"
+#: A key of more members than this is settled by blocks and not by pairs.
+HOT_KEY = 16
 
 
 def _shingles(column: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,7 +130,7 @@ def _near(chunks: int, n_x: Column, n_y: Column, sketch_x: Column, sketch_y: Col
     )
 
 
-def _confirm(docs: DataFrame, pairs: DataFrame, shingle: int, part: int = 500) -> DataFrame:
+def _confirm(texts: DataFrame, pairs: DataFrame, shingle: int, part: int = 500) -> DataFrame:
     """``a, b`` of those pairs whose full sets are similar. The texts of the ``b``
     go to their ``a`` in parts of about ``part``, so a class with very many partners
     is compared in many tasks."""
@@ -135,7 +138,6 @@ def _confirm(docs: DataFrame, pairs: DataFrame, shingle: int, part: int = 500) -
     wanted = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
     members = wanted.select(F.col("b").alias("doc_id"), "a", "part", F.lit(1).alias("side"))
     heads = wanted.select("a", "part").distinct().select(F.col("a").alias("doc_id"), "a", "part", F.lit(0).alias("side"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sent = members.unionByName(heads).join(texts, "doc_id").repartition("a", "part").sortWithinPartitions("a", "part", "side", "doc_id")
 
     def compare(batches):
@@ -153,15 +155,104 @@ def _confirm(docs: DataFrame, pairs: DataFrame, shingle: int, part: int = 500) -
                     assert head == (a[r], part_no[r])
                     if len(own) and len(head_set):
                         spot = np.minimum(np.searchsorted(head_set, own), len(head_set) - 1)
-                        out.append((a[r], doc[r], int((head_set[spot] == own).sum()), len(head_set), len(own)))
+                        common = int((head_set[spot] == own).sum())
+                        if 100 * common >= 80 * (len(head_set) + len(own) - common):
+                            out.append((a[r], doc[r]))
                 if out:
-                    names = ["a", "b", "shared", "n_a", "n_b"]
-                    columns = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+                    yield _links(out)
+
+    return sent.mapInArrow(compare, LINK)
+
+
+def _links(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _compare_blocks(shingle: int):
+    """Links between the rows of each group (``left, right``) whose components
+    differ, one of them apart. One link for each document and component is enough,
+    as a component is connected already."""
+
+    def flush(rows, parts):
+        out = []
+        if len(rows) > 1:
+            doc, own, apart, sizes = (np.array(x) for x in zip(*rows, strict=True))
+            bounds = np.r_[0, np.cumsum(sizes)]
+            every = np.concatenate(parts)
+            owner = np.repeat(np.arange(len(rows)), sizes)
+            order = np.argsort(every, kind="stable")
+            every, owner = every[order], owner[order]
+            for x in np.flatnonzero(apart):
+                mine = parts[x]
+                lo, hi = np.searchsorted(every, mine, "left"), np.searchsorted(every, mine, "right")
+                step = np.repeat(lo - np.r_[0, np.cumsum(hi - lo)[:-1]], hi - lo) + np.arange(int((hi - lo).sum()))
+                common = np.bincount(owner[step], minlength=len(rows))
+                total = sizes[x] + np.diff(bounds) - common
+                linked = (100 * common >= 80 * total) & (own != own[x])
+                _, one = np.unique(own[linked], return_index=True)
+                out += [(int(doc[x]), int(y)) for y in doc[linked][one]]
+        return [_links(out)] if out else []
 
-    found = sent.mapInArrow(compare, SETS)
-    similar = 100 * F.col("shared") >= 80 * (F.col("n_a") + F.col("n_b") - F.col("shared"))
-    return found.filter(similar).select("a", "b")
+    def compare(batches):
+        group, rows, parts = None, [], []
+        for whole in batches:
+            for batch in A.slices([whole], "text"):
+                _, h, first = _shingles(batch.column("text"), shingle)
+                columns = ("left", "right", "doc_id", "own", "apart")
+                names = zip(*(batch.column(c).to_pylist() for c in columns), strict=True)
+                for r, (left, right, doc, own, apart) in enumerate(names):
+                    if (left, right) != group:
+                        yield from flush(rows, parts)
+                        group, rows, parts = (left, right), [], []
+                    mine = h[first[r] : first[r + 1]].copy()
+                    rows.append((doc, own, apart, len(mine)))
+                    parts.append(mine)
+        yield from flush(rows, parts)
+
+    return compare
+
+
+def _hot_links(texts: DataFrame, placed: DataFrame, shingle: int, block: int) -> DataFrame:
+    """Links between components among classes that share a key of many members.
+
+    Classes are grouped by the smallest class they share a key with, and a group is
+    cut into blocks. Who meets whom is settled by group, so a key of n members
+    gives n rows and not n * n; a text goes once to each block it may be similar
+    to, and a task holds two blocks.
+    """
+    near = placed.groupBy("rid").agg(F.min("least").alias("grp"))
+    sizes = near.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+    at = materialize(placed.select("key", "rid", "own", "head").join(near, "rid"), "groups")
+    apart = at.filter("own <> head")
+    meets = (
+        apart.select("key", "rid", "own", "grp")
+        .join(at.select("key", F.col("grp").alias("other")).distinct(), "key")
+        .select("rid", "own", "grp", "other", F.lit(True).alias("apart"))
+        .distinct()
+    )
+    met_by = (
+        at.select("key", "rid", "own", "grp")
+        .join(apart.select("key", F.col("grp").alias("other")).distinct(), "key")
+        .select("rid", "own", "grp", "other", F.lit(False).alias("apart"))
+        .distinct()
+    )
+    # A class may come both ways; that it is apart counts.
+    both = meets.unionByName(met_by).groupBy("rid", "own", "grp", "other").agg(F.max("apart").alias("apart"))
+    there = sizes.select(F.col("grp").alias("other"), F.col("parts").alias("other_parts"))
+    dealt = both.join(sizes, "grp").join(there, "other")
+    mine = F.concat_ws(":", "grp", F.pmod(F.xxhash64("rid"), F.col("parts")))
+    blocks = dealt.select(
+        F.col("rid").alias("doc_id"), "own", "apart", mine.alias("mine"),
+        F.explode(F.transform(F.sequence(F.lit(0), F.col("other_parts") - 1), lambda k: F.concat_ws(":", "other", k))).alias("theirs"),
+    )
+    sent = (
+        blocks.select("doc_id", "own", "apart", F.least("mine", "theirs").alias("left"), F.greatest("mine", "theirs").alias("right"))
+        .groupBy("doc_id", "own", "left", "right")
+        .agg(F.max("apart").alias("apart"))
+    )
+    rows = sent.join(texts, "doc_id").repartition("left", "right").sortWithinPartitions("left", "right", "doc_id")
+    return rows.mapInArrow(_compare_blocks(shingle), LINK)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -198,7 +289,7 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
 
 
-def near_duplicates(docs: DataFrame, chunks: int = 10, shingle: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, chunks: int = 10, shingle: int = 4, block: int = 1000) -> DataFrame:
     """Components of documents linked by a Jaccard similarity of 0.8 or more of
     their sets of ``shingle``-word shingles (words: runs of anything but ASCII
     space, A-Z lower-cased).
@@ -226,9 +317,14 @@ def near_duplicates(docs: DataFrame, chunks: int = 10, shingle: int = 4) -> Data
         F.min(F.struct("doc_id", "keys", "sketch")).alias("m"), F.count(F.lit(1)).alias("copies")
     )
     heads = classes.select(F.col("m.doc_id").alias("rid"), F.col("n_shingles").alias("n"), F.col("m.keys").alias("keys"), F.col("m.sketch").alias("sketch"))
-    keyed = heads.select("rid", "n", "sketch", F.explode("keys").alias("key"))
+    keyed = heads.select("rid", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("rid").alias("least"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    met = materialize(keyed.join(shared.select("key", "least"), "key"), "keys")
+    met = keyed.join(shared, "key").join(heads.select("rid", "n", "sketch"), "rid")
+    met = materialize(met, "keys")
+    # Only texts that share a key are ever compared; they leave the corpus once.
+    needed = met.select(F.col("rid").alias("doc_id")).distinct()
+    every_text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = materialize(every_text.join(needed, "doc_id", "left_semi"), "texts")
     # First: everything against the smallest class of its key.
     least = met.filter("rid = least").select("key", F.col("n").alias("n_least"), F.col("sketch").alias("s_least"))
     star = (
@@ -239,15 +335,17 @@ def near_duplicates(docs: DataFrame, chunks: int = 10, shingle: int = 4) -> Data
         .distinct()
     )
     tried = materialize(star, "pairs")
-    confirmed = _confirm(docs, tried, shingle)
+    confirmed = _confirm(texts, tried, shingle)
     first = materialize(confirmed.distinct(), "confirmed")
     labels = components(first)
     # Then: what did not reach the smallest class, against other components.
     placed = _labelled(_labelled(met, labels, "rid", "own"), labels, "least", "head")
-    apart = placed.filter("own <> head").select(
+    placed = materialize(placed, "placed")
+    cold = placed.filter(F.col("members") <= HOT_KEY)
+    apart = cold.filter("own <> head").select(
         "key", F.col("rid").alias("x"), F.col("own").alias("own_x"), F.col("n").alias("n_x"), F.col("sketch").alias("s_x")
     )
-    others = placed.select("key", F.col("rid").alias("y"), F.col("own").alias("own_y"), F.col("n").alias("n_y"), F.col("sketch").alias("s_y"))
+    others = cold.select("key", F.col("rid").alias("y"), F.col("own").alias("own_y"), F.col("n").alias("n_y"), F.col("sketch").alias("s_y"))
     close = _near(chunks, F.col("n_x"), F.col("n_y"), F.col("s_x"), F.col("s_y"))
     more = (
         apart.join(others, (apart["key"] == others["key"]) & (F.col("own_x") != F.col("own_y")) & close)
@@ -256,9 +354,10 @@ def near_duplicates(docs: DataFrame, chunks: int = 10, shingle: int = 4) -> Data
         .join(tried, ["a", "b"], "left_anti")
     )
     second = materialize(more, "pairs")
-    if not second.isEmpty():
-        links = first.unionByName(_confirm(docs, second, shingle).distinct())
-        labels = components(links)
+    hot = _hot_links(texts, placed.filter(F.col("members") > HOT_KEY), shingle, block)
+    found = materialize(_confirm(texts, second, shingle).unionByName(hot).distinct(), "confirmed")
+    if not found.isEmpty():
+        labels = components(first.unionByName(found))
     own = classes.select(*sets, F.col("m.doc_id").alias("rid"))
     placed = _labelled(signed.select("doc_id", *sets).join(own, sets), labels, "rid", "component_id")
     ids = placed.select("doc_id", "n_shingles", "component_id")
