@@ -141,7 +141,7 @@ def near_sql(left: str, right: str) -> str:
     drop = "substr(word, 1, i - 1) || substr(word, i + 1)"
     mask = "substr(word, 1, i - 1) || chr(1) || substr(word, i + 1)"
     steps = lambda t: f"(SELECT word, unnest(range(1, length(word) + 1)) AS i FROM {t})"
-    return f"""near AS (
+    return f"""near AS MATERIALIZED (
       SELECT DISTINCT l.word, r.word AS candidate FROM (SELECT word, {drop} AS s FROM {steps(left)}) l JOIN {right} r ON r.word = l.s
       UNION SELECT DISTINCT l.word, r.word FROM {left} l JOIN (SELECT word, {drop} AS s FROM {steps(right)}) r ON l.word = r.s
       UNION SELECT DISTINCT l.word, r.word FROM (SELECT word, {mask} AS s FROM {steps(left)}) l

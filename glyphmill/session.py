@@ -54,9 +54,12 @@ def _own_scratch(application: str) -> str:
 
 def scratch_root(spark: SparkSession) -> str:
     """Folder shared by all executors: the one the session names in
-    ``spark.checkpoint.dir``; where it names none, as on a single machine, a
-    temporary one."""
+    ``spark.checkpoint.dir``. Where it names none, a temporary one serves on a single
+    machine; on a cluster that would lose data, so it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not root and not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
     return (root or _own_scratch(spark.sparkContext.applicationId)).rstrip("/")
 
 

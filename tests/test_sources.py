@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import hooks
 from glyphmill.operators import profiling, series
+from glyphmill.session import scratch_root
 from glyphmill.sources import boxes, labels, sinks
 
 
@@ -182,3 +183,19 @@ def test_labeler_is_retried_with_growing_pauses():
 def test_recognizer_feeds_assembly(spark):
     images = spark.createDataFrame([(1, 0, 0, "a"), (1, 0, 1, "b")], "page_id int, line int, pos int, image string")
     assert series.assemble_text(hooks.recognize(images, str.upper)).first()["text"] == "A B"
+
+
+class _Cluster:
+    """As much of a session as the choice of a scratch folder looks at."""
+
+    def __init__(self, master, root=None):
+        self.conf = {"spark.checkpoint.dir": root}
+        self.sparkContext = type("Context", (), {"master": master, "applicationId": "app"})
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    with pytest.raises(RuntimeError):
+        scratch_root(_Cluster("spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        scratch_root(_Cluster("local-cluster[2,1,1024]"))
+    assert scratch_root(_Cluster("yarn", "hdfs://x/shared/")) == "hdfs://x/shared"
