@@ -186,9 +186,24 @@ def select_qa_candidates(
 
 
 def symmetric_eviction(words: DataFrame) -> DataFrame:
-    """Kept rows that share their text with a candidate; empty in a correct run."""
-    texts = words.filter(F.col("status") == "exported_qa_candidate").select("text_nfc").distinct()
-    return words.filter(F.col("status") == "kept").join(texts, "text_nfc", "left_semi")
+    """Kept rows that share their text with a candidate move to
+    ``filtered_text_leak``; in a correct run there are none. All rows are returned."""
+    texts = (
+        words.filter(F.col("status") == "exported_qa_candidate")
+        .select("text_nfc", F.lit(True).alias("_qa"))
+        .distinct()
+    )
+    hit = (F.col("status") == "kept") & F.coalesce("_qa", F.lit(False))
+    return (
+        words.join(texts, "text_nfc", "left")
+        .withColumns(
+            {
+                "filter_reason": F.when(hit, "leak_vs_qa_candidate").otherwise(F.col("filter_reason")),
+                "status": F.when(hit, "filtered_text_leak").otherwise(F.col("status")),
+            }
+        )
+        .drop("_qa")
+    )
 
 
 def audit_disjointness(words: DataFrame, val: DataFrame, test: DataFrame, bench: DataFrame) -> DataFrame:

@@ -150,16 +150,12 @@ def relative_targets(matrix: DataFrame, baseline: str, cer_share: float = 0.6, w
     )
 
 
-def rare_char_cer(scored: DataFrame, char_counts: DataFrame, max_count: int, id_col: str = "sample_id") -> DataFrame:
-    """CER over rows whose target holds a character seen at most ``max_count`` times."""
-    rare = char_counts.filter(F.col("n") <= max_count).select("ch")
-    holders = (
-        scored.select(id_col, F.explode(F.array_distinct(F.split("target", ""))).alias("ch"))
-        .join(rare, "ch")
-        .select(id_col)
-        .distinct()
-    )
-    return scored.join(holders, id_col, "left_semi").groupBy(*GRID).agg(
+def rare_char_cer(scored: DataFrame, char_counts: DataFrame, max_count: int) -> DataFrame:
+    """CER over rows whose target holds a character seen at most ``max_count`` times.
+
+    The rare characters, bounded by Unicode, are one list; rows are filtered by it."""
+    rare = char_counts.filter(F.col("n") <= max_count).agg(F.collect_list("ch"))
+    return scored.filter(F.arrays_overlap(F.split("target", ""), rare.scalar())).groupBy(*GRID).agg(
         F.avg("cer").alias("rare_cer"), F.count(F.lit(1)).alias("n")
     )
 
@@ -176,11 +172,13 @@ def target_gate(scores: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def unk_free_rate(predictions: DataFrame, sample: int = 20, seed: int = 42, id_col: str = "sample_id") -> DataFrame:
-    """Share of predictions without <UNK> in a repeatable sample per model,
-    divided by the number of predictions really looked at."""
-    order = [shuffle_key(seed, id_col), F.col(id_col)]
-    drawn = first_n_per_group(predictions, ["model"], order, sample)
+def unk_free_rate(predictions: DataFrame, sample: int | None = None, seed: int = 42, id_col: str = "sample_id") -> DataFrame:
+    """Share of predictions without <UNK> per model, or in a repeatable sample of
+    each, divided by the number of predictions really looked at."""
+    drawn = predictions
+    if sample is not None:
+        order = [shuffle_key(seed, id_col), F.col(id_col)]
+        drawn = first_n_per_group(predictions, ["model"], order, sample)
     clean = ~F.contains(F.col("prediction"), F.lit("<UNK>"))
     return drawn.groupBy("model").agg(
         F.count(F.lit(1)).alias("checked"), F.avg(clean.cast("int")).alias("unk_free_rate")

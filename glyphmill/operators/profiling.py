@@ -45,38 +45,35 @@ def numeric_summary(rows: DataFrame, value: str, by: tuple[str, ...] = ()) -> Da
     return rows.select(*by).distinct().join(found, list(by), "left")
 
 
-def dataset_summary(samples: DataFrame, inspect_limit: int = 1000) -> DataFrame:
-    """One row: rows, distinct texts, distinct characters, and size statistics
-    over the first ``inspect_limit`` readable images.
+def dataset_summary(samples: DataFrame, inspect_limit: int | None = None) -> DataFrame:
+    """One row: rows, distinct texts, ``char_frequency`` (``ch, n`` in code point
+    order; bounded by Unicode), distinct characters, and size statistics over all
+    readable images, or the first ``inspect_limit`` of them.
 
     ``samples``: ``order_id, text, width, height, readable``. Corrupt images
     count when they come before the inspection ended.
     """
-    totals = samples.agg(
-        F.count(F.lit(1)).alias("sample_count"), F.countDistinct("text").alias("unique_text_count")
-    )
-    chars = char_frequency(samples).agg(F.count(F.lit(1)).alias("distinct_chars"))
-    window = take_first(samples.filter("readable").select("order_id", "width", "height"), ["order_id"], inspect_limit)
-    stats = window.agg(
-        F.count(F.lit(1)).alias("inspected_images"),
+    seen = F.lit(True)
+    if inspect_limit is not None:
+        window = take_first(samples.filter("readable").select("order_id"), ["order_id"], inspect_limit)
+        ended = F.when(F.count(F.lit(1)) == inspect_limit, F.max("order_id"))
+        seen = F.coalesce(F.col("order_id") <= window.agg(ended).scalar(), F.lit(True))
+    ok = F.col("readable") & F.col("_seen")
+    stats = samples.withColumn("_seen", seen).agg(
+        F.count(F.lit(1)).alias("sample_count"),
+        F.countDistinct("text").alias("unique_text_count"),
+        F.count_if(ok).alias("inspected_images"),
         *[
-            agg(F.col(c)).cast("int").alias(f"{c}_{name}")
+            agg(F.when(ok, F.col(c))).cast("int").alias(f"{c}_{name}")
             for c in ("width", "height")
             for name, agg in (("min", F.min), ("median", lambda v: F.percentile(v, F.lit(0.5))), ("max", F.max))
         ],
-        F.max("order_id").alias("_last"),
+        F.count_if(~F.col("readable") & F.col("_seen")).alias("corrupt_in_window"),
     )
-    ended = F.when(F.col("inspected_images") == inspect_limit, F.col("_last"))
-    last = stats.select(ended.alias("last")).scalar()
-    corrupt = samples.filter(~F.col("readable") & F.coalesce(F.col("order_id") < last, F.lit(True))).agg(
-        F.count(F.lit(1)).alias("corrupt_in_window")
+    chars = char_frequency(samples).agg(F.array_sort(F.collect_list(F.struct("ch", "n"))))
+    return stats.withColumn("char_frequency", chars.scalar()).withColumn(
+        "distinct_chars", F.size("char_frequency").cast("long")
     )
-    return totals.select(
-        "*",
-        chars.scalar().alias("distinct_chars"),
-        stats.drop("_last").select(F.struct("*")).scalar().alias("_s"),
-        corrupt.scalar().alias("corrupt_in_window"),
-    ).select("*", "_s.*").drop("_s")
 
 
 def build_vocab(rows: DataFrame, text: str = "text", style: str = "pad_unk") -> DataFrame:

@@ -205,14 +205,16 @@ def _(spark, sf):
     "symmetric_eviction",
     "C6",
     f"""WITH {CASCADE}, picked AS (SELECT text_nfc FROM judged WHERE status = 'kept' AND id % 1000000 < 3),
-    kept AS (SELECT * FROM judged WHERE status = 'kept' AND id % 1000000 >= 3 AND text_nfc IN (SELECT text_nfc FROM picked))
-    {tally_sql('kept', 'source')}""",
+    e AS (SELECT *, status = 'kept' AND id % 1000000 < 3 AS qa, status = 'kept' AND id % 1000000 >= 3 AND text_nfc IN (SELECT text_nfc FROM picked) AS hit FROM judged),
+    evicted AS (SELECT * REPLACE (CASE WHEN qa THEN 'exported_qa_candidate' WHEN hit THEN 'filtered_text_leak' ELSE status END AS status,
+      CASE WHEN hit THEN 'leak_vs_qa_candidate' ELSE filter_reason END AS filter_reason) FROM e)
+    {tally_sql('evicted', *STATUS)}""",
 )
 def _(spark, sf):
     # The first words of every page are taken as candidates, so there is something to evict.
     picked = (F.col("status") == "kept") & (F.col("id") % 1000000 < 3)
     status = F.when(picked, "exported_qa_candidate").otherwise(F.col("status"))
-    return tally(C.symmetric_eviction(cascade(spark, sf).withColumn("status", status)), "source")
+    return tally(C.symmetric_eviction(cascade(spark, sf).withColumn("status", status)), *STATUS)
 
 
 def _kept(spark, sf):

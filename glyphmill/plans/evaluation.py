@@ -320,8 +320,7 @@ def _(spark, sf):
 @query(
     "unk_free_rate",
     "D14",
-    f"""WITH {PAIRS}, r AS (SELECT model, raw, row_number() OVER (PARTITION BY model ORDER BY md5('42:' || sample_id), sample_id) AS rn FROM norm)
-    SELECT model, count(*) AS checked, round(avg(CASE WHEN raw LIKE '%<UNK>%' THEN 0 ELSE 1 END), 9) AS unk_free_rate FROM r WHERE rn <= 20 GROUP BY model""",
+    f"""WITH {PAIRS} SELECT model, count(*) AS checked, round(avg(CASE WHEN raw LIKE '%<UNK>%' THEN 0 ELSE 1 END), 9) AS unk_free_rate FROM norm GROUP BY model""",
 )
 def _(spark, sf):
     return E.unk_free_rate(pairs(spark, sf)).withColumn("unk_free_rate", F.round("unk_free_rate", 9))

@@ -29,13 +29,14 @@ def _(spark, sf):
     "dataset_summary",
     "D2",
     f"""WITH {WORDS}, s AS (SELECT id AS order_id, text_nfc, w AS width, h AS height, page_id % 9 <> 4 AS readable FROM words),
-    win AS (SELECT * FROM s WHERE readable ORDER BY order_id LIMIT 1000)
+    c AS (SELECT ch, count(*) AS n FROM (SELECT unnest(string_split(text_nfc, '')) AS ch FROM s) GROUP BY ch),
+    win AS (SELECT * FROM s WHERE readable)
     SELECT (SELECT count(*) FROM s) AS sample_count, (SELECT count(DISTINCT text_nfc) FROM s) AS unique_text_count,
-      (SELECT count(DISTINCT ch) FROM (SELECT unnest(string_split(text_nfc, '')) AS ch FROM s)) AS distinct_chars,
+      (SELECT count(*) FROM c) AS distinct_chars, (SELECT string_agg(ch || n, ' ' ORDER BY ch) FROM c) AS char_frequency,
       count(*) AS inspected_images,
       CAST(min(width) AS INT) AS width_min, CAST(floor(median(width)) AS INT) AS width_median, CAST(max(width) AS INT) AS width_max,
       CAST(min(height) AS INT) AS height_min, CAST(floor(median(height)) AS INT) AS height_median, CAST(max(height) AS INT) AS height_max,
-      (SELECT count(*) FROM s WHERE NOT readable AND ((SELECT count(*) FROM win) < 1000 OR order_id < (SELECT max(order_id) FROM win))) AS corrupt_in_window
+      (SELECT count(*) FROM s WHERE NOT readable) AS corrupt_in_window
     FROM win""",
 )
 def _(spark, sf):
@@ -46,7 +47,8 @@ def _(spark, sf):
         F.col("h").alias("height"),
         (F.col("page_id") % 9 != 4).alias("readable"),
     )
-    return P.dataset_summary(samples)
+    listed = F.array_join(F.transform("char_frequency", lambda c: F.concat(c["ch"], c["n"].cast("string"))), " ")
+    return P.dataset_summary(samples).withColumn("char_frequency", listed)
 
 
 @query(
@@ -244,13 +246,11 @@ def _(spark, sf):
 @query(
     "image_stat_check",
     "Q5",
-    """WITH s AS (SELECT doc_id, source, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents)
-    SELECT source, count(*) AS total, count(*) FILTER (WHERE rn <= 10) AS checked,
-      count(*) FILTER (WHERE rn <= 10 AND doc_id % 9 = 4) AS failed,
-      min(n_chars) FILTER (WHERE rn <= 10 AND doc_id % 9 <> 4) AS width_min, max(n_chars) FILTER (WHERE rn <= 10 AND doc_id % 9 <> 4) AS width_max,
-      CAST(floor(avg(n_chars) FILTER (WHERE rn <= 10 AND doc_id % 9 <> 4)) AS BIGINT) AS width_avg,
-      count(DISTINCT n_chars % 3) FILTER (WHERE rn <= 10 AND doc_id % 9 <> 4) AS distinct_heights
-    FROM s GROUP BY source""",
+    """SELECT source, count(*) AS total, count(*) AS checked, count(*) FILTER (WHERE doc_id % 9 = 4) AS failed,
+      min(n_chars) FILTER (WHERE doc_id % 9 <> 4) AS width_min, max(n_chars) FILTER (WHERE doc_id % 9 <> 4) AS width_max,
+      CAST(floor(avg(n_chars) FILTER (WHERE doc_id % 9 <> 4)) AS BIGINT) AS width_avg,
+      count(DISTINCT n_chars % 3) FILTER (WHERE doc_id % 9 <> 4) AS distinct_heights
+    FROM documents GROUP BY source""",
 )
 def _(spark, sf):
     images = table(spark, sf, "documents").select(
@@ -260,4 +260,4 @@ def _(spark, sf):
         (F.col("n_chars") % 3).alias("height"),
         (F.col("doc_id") % 9 != 4).alias("readable"),
     )
-    return Q.image_stat_check(images, 10).withColumnRenamed("dataset", "source")
+    return Q.image_stat_check(images).withColumnRenamed("dataset", "source")
