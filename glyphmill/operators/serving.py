@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pandas import Timedelta
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.functions.text import normalize_text
@@ -80,26 +81,27 @@ def job_summary(jobs: DataFrame) -> DataFrame:
     )
 
 
+def limited_tier(tiers: dict[str, tuple[str, int]]) -> Column:
+    """The tier a request counts under: one without a user is ``anonymous``, and a
+    user of a tier without a limit of its own is ``free``."""
+    known = F.when(F.col("tier").isin(*tiers), F.col("tier")).otherwise("free")
+    return F.when(F.col("user_id").isNull(), "anonymous").otherwise(known)
+
+
 def rate_limit_breaches(requests: DataFrame, limits: dict[str, tuple[str, int]] = LIMITS) -> DataFrame:
     """Windows in which a user went over the limit of their tier.
 
-    ``requests``: ``user_id, tier, ts``. One tumbling window per tier; requests
-    are counted before anything is shuffled.
+    ``requests``: ``user_id, tier, ts``. Tumbling windows of the tier's length, all
+    tiers in one pass; requests are counted before anything is shuffled. Requests
+    without user count together.
     """
-    reports = []
-    for tier, (length, allowed) in limits.items():
-        windows = (
-            requests.filter(F.col("tier") == tier)
-            .groupBy("user_id", F.window("ts", length).alias("w"))
-            .agg(F.count(F.lit(1)).alias("requests"))
-            .filter(F.col("requests") > allowed)
-        )
-        reports.append(
-            windows.select(
-                F.lit(tier).alias("tier"), "user_id", F.col("w.start").alias("window_start"), "requests"
-            )
-        )
-    first, *rest = reports
-    for report in rest:
-        first = first.unionByName(report)
-    return first
+    micros = {tier: int(Timedelta(length).total_seconds() * 1_000_000) for tier, (length, _) in limits.items()}
+    length = F.create_map(*[F.lit(v) for pair in micros.items() for v in pair])
+    allowed = F.create_map(*[F.lit(v) for tier, (_, n) in limits.items() for v in (tier, n)])
+    at, tier = F.unix_micros(F.col("ts").cast("timestamp")), F.col("tier")
+    return (
+        requests.withColumn("tier", limited_tier(limits))
+        .groupBy("tier", "user_id", F.timestamp_micros(at - F.pmod(at, length[tier])).alias("window_start"))
+        .agg(F.count(F.lit(1)).alias("requests"))
+        .filter(F.col("requests") > allowed[tier])
+    )

@@ -111,23 +111,31 @@ def _(spark, sf):
     return V.job_summary(rows).withColumns({c: F.round(c, 6) for c in ("avg_confidence", "avg_ms")})
 
 
-def _breach_sql(tier: str, k: int, seconds: int, allowed: int) -> str:
-    return f"""SELECT '{tier}' AS tier, user_id, epoch_us(ts) // {seconds}000000 * {seconds}000000 AS window_us, count(*) AS requests
-      FROM events WHERE user_id % 3 = {k} GROUP BY ALL HAVING count(*) > {allowed}"""
+# Requests of three tiers, of one without a limit of its own, and without user.
+TRAFFIC = """WITH g AS (SELECT epoch_us(ts) AS us, CASE WHEN event_id % 17 <> 0 THEN user_id END AS user_id,
+      CASE WHEN event_id % 10 = 0 THEN 'team' ELSE ['anonymous', 'free', 'pro'][user_id % 3 + 1] END AS given FROM events),
+    t AS (SELECT us, user_id, CASE WHEN user_id IS NULL THEN 'anonymous' WHEN given = 'team' THEN 'free' ELSE given END AS tier FROM g),
+    e AS (SELECT *, CASE tier WHEN 'anonymous' THEN 60000000 ELSE 3600000000 END AS len, CASE tier WHEN 'pro' THEN 2 ELSE 1 END AS allowed FROM t)"""
+# The generated traffic is thin, so the limits are lower than the usual ones.
+THIN = {"anonymous": ("1 minute", 1), "free": ("1 hour", 1), "pro": ("1 hour", 2)}
+
+
+def traffic(events):
+    tiers = F.element_at(F.array(F.lit("anonymous"), F.lit("free"), F.lit("pro")), (F.col("user_id") % 3 + 1).cast("int"))
+    return events.select(
+        F.when(F.col("event_id") % 17 != 0, F.col("user_id")).alias("user_id"),
+        F.when(F.col("event_id") % 10 == 0, "team").otherwise(tiers).alias("tier"),
+        "ts",
+    )
 
 
 @query(
     "rate_limit_breaches",
     "H6",
-    " UNION ALL ".join(
-        [_breach_sql("anonymous", 0, 60, 1), _breach_sql("free", 1, 3600, 1), _breach_sql("pro", 2, 3600, 2)]
-    ),
+    f"""{TRAFFIC} SELECT tier, coalesce(user_id, -1) AS user_id, us // len * len AS window_us, count(*) AS requests
+    FROM e GROUP BY tier, e.user_id, us // len * len, allowed HAVING count(*) > allowed""",
 )
 def _(spark, sf):
-    tiers = F.element_at(F.array(F.lit("anonymous"), F.lit("free"), F.lit("pro")), (F.col("user_id") % 3 + 1).cast("int"))
-    requests = table(spark, sf, "events").select("user_id", tiers.alias("tier"), "ts")
-    # The generated traffic is thin, so the limits are lower than the usual ones.
-    limits = {"anonymous": ("1 minute", 1), "free": ("1 hour", 1), "pro": ("1 hour", 2)}
-    return V.rate_limit_breaches(requests, limits).select(
-        "tier", "user_id", micros("window_start").alias("window_us"), "requests"
+    return V.rate_limit_breaches(traffic(table(spark, sf, "events")), THIN).select(
+        "tier", F.coalesce("user_id", F.lit(-1)).alias("user_id"), micros("window_start").alias("window_us"), "requests"
     )

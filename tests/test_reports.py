@@ -127,6 +127,15 @@ def test_rate_limits(spark):
     assert [r["requests"] for r in V.rate_limit_breaches(rows).collect()] == [11]
 
 
+def test_unknown_tiers_are_free_and_no_user_is_anonymous(spark):
+    at = dt.datetime(2024, 1, 1, 0, 0, 30)
+    rows = [("u", "team", at)] * 61 + [("v", None, at)] * 61 + [(None, "pro", at)] * 11 + [("w", "pro", at)] * 62
+    found = V.rate_limit_breaches(spark.createDataFrame(rows, "user_id string, tier string, ts timestamp")).collect()
+    assert {(r["tier"], r["user_id"], r["requests"]) for r in found} == {("free", "u", 61), ("free", "v", 61), ("anonymous", None, 11)}
+    assert {r["window_start"].minute for r in found} == {0}
+
+
+
 def test_domain_fk_and_coverage(spark):
     rows = spark.createDataFrame([("pending", 1), ("odd", 2), (None, None)], "status string, page_id int")
     assert tuple(Q.check_domain(rows, {"status": ["pending", "labeled"]}).first()) == ("status", 1, 3)
