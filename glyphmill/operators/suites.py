@@ -164,11 +164,11 @@ def build_suites(
     else:
         warnings.append("synthetic_morphed_plus_real skipped: both morphed and real pools are needed")
 
-    if has["real"] or has["iiit_holdout"]:
+    if (has["real"] or has["iiit_holdout"]) and real_size != 0:
         real = compose_with_backfill(pool["real"], backup, real_size, f"{seed}-real")
         suites.append(real.withColumn("suite", F.lit("real_only")))
     else:
-        warnings.append("real_only skipped: no real labels")
+        warnings.append("real_only skipped: no real labels are asked for or given")
 
     if not suites:
         raise ValueError("no suite could be built: give at least one non-empty pool")

@@ -8,7 +8,6 @@ import uuid
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Runtime settings every job relies on. Sizes (memory, shuffle partitions) are
 # left to whoever starts the session.
@@ -78,19 +77,15 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-# Rows a lookup may have to be sent whole to every executor.
-BROADCAST_ROWS = 100_000
-
-
 def join_lookup(df: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Join a small derived table, whose size only shows once it is computed.
 
-    The lookup is stored and counted. Up to ``BROADCAST_ROWS`` rows it is
-    broadcast and ``df`` stays where it is, whatever key is frequent in it; a
-    larger one is joined by shuffle, where adaptive execution splits hot keys.
+    The lookup is stored, so its bytes are known when the join is planned: below
+    ``spark.sql.autoBroadcastJoinThreshold`` Spark broadcasts it and ``df`` stays
+    where it is; a larger one is joined by shuffle, where adaptive execution splits
+    hot keys.
     """
-    stored = materialize(lookup, "lookup")
-    return df.join(F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored, on, how)
+    return df.join(materialize(lookup, "lookup"), on, how)
 
 
 def spread(df: DataFrame) -> DataFrame:

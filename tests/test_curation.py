@@ -147,6 +147,8 @@ def test_suites_fill_up_from_the_holdout(spark):
 def test_suites_need_some_pool(spark):
     suite, _, warnings = suites.build_suites(pool(spark, synthetic=2, morphed=0))
     assert suite.count() == 2 and len(warnings) == 2
+    suite, _, warnings = suites.build_suites(pool(spark, synthetic=2, real=1, morphed=0), real_size=0)
+    assert {r["suite"] for r in suite.collect()} == {"synthetic_only"} and any(w.startswith("real_only") for w in warnings)
     with pytest.raises(ValueError):
         suites.build_suites(pool(spark, synthetic=1).filter("false"))
 
