@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.functions.text import normalize_text
+from glyphmill.operators.curation import text_disjoint
 from glyphmill.operators.ranking import first_n_per_group
 
 ACTIONS = ("accept", "edit", "reject")
@@ -55,19 +56,21 @@ def apply_qa_decisions(words: DataFrame, decisions: DataFrame) -> DataFrame:
     return words.drop("qa_decision", "qa_edited_text", "qa_decided_at").join(last, "id", "left")
 
 
-def export_verified(words: DataFrame) -> DataFrame:
+def export_verified(words: DataFrame, *frozen: DataFrame) -> DataFrame:
     """``id, image_path, text`` of accepted and edited candidates; an empty edit
-    falls back to the original. The text is normalized again, as an edit never
-    went through the policy; run ``audit_disjointness`` on the result."""
+    falls back to the original. An edit never went through the policy, so the text
+    is normalized again and rows whose text is in a frozen evaluation set
+    (``text_nfc``) stay out."""
     chosen = words.filter(
         (F.col("status") == "exported_qa_candidate") & F.col("qa_decision").isin("accept", "edit")
     )
     edited = F.when(F.col("qa_decision") == "edit", F.nullif(F.col("qa_edited_text"), F.lit("")))
-    return chosen.select(
+    out = chosen.select(
         "id",
         F.concat(F.lit("crops/"), F.col("id").cast("string"), F.lit(".png")).alias("image_path"),
         normalize_text(F.coalesce(edited, F.col("text_nfc"))).alias("text"),
     )
+    return text_disjoint(out, *frozen, text="text").select("id", "image_path", "text") if frozen else out
 
 
 def job_summary(jobs: DataFrame) -> DataFrame:

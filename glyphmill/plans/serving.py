@@ -86,10 +86,13 @@ def _(spark, sf):
     "H4",
     f"""WITH {DECISIONS} SELECT doc_id AS id, 'crops/' || doc_id || '.png' AS image_path,
       trim(CASE WHEN action = 'edit' AND edited <> '' THEN edited ELSE 'w' || doc_id END) AS text
-    FROM documents JOIN last ON last.word_id = doc_id LEFT JOIN edit ON edit.word_id = doc_id WHERE action IN ('accept', 'edit')""",
+    FROM documents JOIN last ON last.word_id = doc_id LEFT JOIN edit ON edit.word_id = doc_id WHERE action IN ('accept', 'edit')
+      AND trim(CASE WHEN action = 'edit' AND edited <> '' THEN edited ELSE 'w' || doc_id END) NOT IN (SELECT 'w' || doc_id FROM documents WHERE lang = 'de')""",
 )
 def _(spark, sf):
-    return V.export_verified(decided(spark, sf))
+    # The German documents stand for a frozen set that some accepted texts are in.
+    frozen = table(spark, sf, "documents").filter("lang = 'de'").select(F.concat(F.lit("w"), F.col("doc_id").cast("string")).alias("text_nfc"))
+    return V.export_verified(decided(spark, sf), frozen)
 
 
 @query(

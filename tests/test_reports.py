@@ -78,6 +78,15 @@ def test_top_words_tie(spark):
     assert [r["word"] for r in P.top_words(rows, 2).collect()] == ["a", "b"]
 
 
+def test_top_words_long_list(spark):
+    counts = [(f"w{i:04}", 1 + i % 3) for i in range(2500)]
+    rows = spark.createDataFrame([(" ".join([w] * n),) for w, n in counts], "text string")
+    want = sorted(counts, key=lambda c: (-c[1], c[0]))[:1500]
+    found = P.top_words(rows, 1500)
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert "TakeOrderedAndProject" not in found._jdf.queryExecution().toString()
+
+
 def test_qa_stats_without_decisions(spark):
     rows = spark.createDataFrame([(i, "s", None) for i in range(3)], "id int, source string, qa_decision string")
     assert {r["source"]: (r["total"], r["decided"]) for r in P.qa_stats(rows).collect()} == {"s": (3, 0), "*": (3, 0)}
@@ -112,6 +121,9 @@ def test_decisions_and_export(spark):
     )
     out = V.export_verified(V.apply_qa_decisions(words, log))
     assert {r["id"]: r["text"] for r in out.collect()} == {0: "a", 1: "b_edited", 3: "d"}
+    frozen = spark.createDataFrame([("b_edited",)], "text_nfc string")
+    safe = V.export_verified(V.apply_qa_decisions(words, log), frozen)
+    assert {r["id"]: r["text"] for r in safe.collect()} == {0: "a", 3: "d"}
 
 
 def test_history_bounds(spark):
