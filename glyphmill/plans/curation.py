@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.operators import curation as C
 from glyphmill.operators import matching, pages, splits, suites
+from glyphmill.operators.labeling import SETS, auto_label
 from glyphmill.plans.catalog import query
 from glyphmill.plans.inputs import (
     BENCH,
@@ -24,6 +25,8 @@ from glyphmill.plans.inputs import (
     tokens,
     words,
 )
+from glyphmill.session import scratch_path
+from glyphmill.sources.labels import read_pipe_labels
 
 STATUS = ("source", "status", "filter_reason")
 DUPS = ("page_id", "text_nfc", "x")
@@ -256,6 +259,32 @@ def _(spark, sf):
     return audit.withColumn("passed", sum((F.col(c) for c in audit.columns), F.lit(0)) == 0)
 
 
+@query(
+    "auto_label_pipeline",
+    "C1",
+    f"""WITH {QA}, kept AS (SELECT * FROM judged WHERE status = 'kept' AND id NOT IN (SELECT id FROM cand)),
+    cut AS (SELECT text_nfc, row_number() OVER (ORDER BY md5('42:' || text_nfc)) <= greatest(1, floor(count(*) OVER () * 0.15)) AS is_val
+      FROM (SELECT DISTINCT text_nfc FROM kept)),
+    placed AS (SELECT CASE WHEN is_val THEN 'val' ELSE 'train' END AS label_set, id, text_nfc FROM kept JOIN cut USING (text_nfc)
+      UNION ALL SELECT 'qa', id, text_nfc FROM cand)
+    SELECT label_set, text_nfc AS text, count(*) AS n, min('crops/' || id || '.png') AS first_image, max('crops/' || id || '.png') AS last_image
+    FROM placed GROUP BY label_set, text_nfc""",
+)
+def _(spark, sf):
+    bench = bench_words(spark, sf)
+    val, test, rest = (bench.filter(F.col("item_id") % 3 == i) for i in range(3))
+    path = scratch_path(spark, "auto-label")
+    auto_label(
+        words(spark, sf), VOCAB, val, test, rest, path, MIN_CONF, page_dims(spark, sf), DUPS, per_source=25
+    )
+    read = [read_pipe_labels(spark, f"{path}/{s}").select(F.lit(s).alias("label_set"), "image_path", "text") for s in SETS]
+    return (
+        read[0].unionByName(read[1]).unionByName(read[2])
+        .groupBy("label_set", "text")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("image_path").alias("first_image"), F.max("image_path").alias("last_image"))
+    )
+
+
 @query(
     "near_dup_audit",
     "C8",

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphmill.operators import curation as C
-from glyphmill.operators import pages, quality, ranking, splits, suites
+from glyphmill.operators import labeling, pages, quality, ranking, splits, suites
+from glyphmill.sources.labels import read_pipe_labels
 
 WORD = "id bigint, page_id bigint, source string, text_nfc string, conf double, x int, y int, w int, h int"
 
@@ -259,3 +260,24 @@ def test_blank_pages(spark):
 def test_next_candidate_is_from_the_source_with_fewest_decisions(spark):
     rows = spark.createDataFrame([(1, "a", "accept"), (2, "a", None), (3, "b", None)], "id int, source string, qa_decision string")
     assert pages.round_robin_next(rows).first()["id"] == 3
+
+
+def test_label_sets_are_written_after_the_audit(spark, tmp_path):
+    rows = words(spark, *[{"text_nfc": t, "x": i} for i, t in enumerate(("क", "ख", "ख", "ग", "घ", "च"))])
+    none = texts(spark, "x").limit(0)
+    out = str(tmp_path / "sets")
+    judged = labeling.auto_label(rows, set("कखगघच"), none, texts(spark, "च"), none, out, per_source=1)
+    count = {r["status"]: r["n"] for r in judged.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert count == {"kept": 4, "exported_qa_candidate": 1, "filtered_text_leak": 1}
+    read = {s: [r["text"] for r in read_pipe_labels(spark, f"{out}/{s}").collect()] for s in labeling.SETS}
+    assert sorted(read["train"] + read["val"] + read["qa"]) == ["क", "ख", "ख", "ग", "घ"]
+    assert len(read["qa"]) == 1 and read["val"] and not set(read["train"]) & set(read["val"])
+
+
+def test_a_planted_leak_fails_the_job_and_leaves_no_file(spark, tmp_path):
+    judged = C.promote(words(spark, {"text_nfc": "क"}, {"text_nfc": "ख"}))
+    none = texts(spark, "x").limit(0)
+    out = tmp_path / "sets"
+    with pytest.raises(quality.PolicyViolation, match="kept_vs_existing_test"):
+        labeling.write_label_sets(judged, none, texts(spark, "ख"), none, str(out))
+    assert not out.exists()
