@@ -12,6 +12,7 @@ size. Only numbers leave the workers.
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -50,18 +51,77 @@ class Band:
     min_entropy_share: float
 
 
-#: Bands by language code, then by script for all other languages. Set from the
-#: labelled rows of the sample tables, below all but a few in a thousand good ones.
+#: Bands by language code, then by script for all other languages. Those by code are
+#: set from the labelled rows of the sample tables, below all but a few in a thousand
+#: good ones. Those by script lie between random letters of the script and the first
+#: articles of the Declaration of Human Rights in one to three of its languages; they
+#: rest on the byte-level vocabulary and, where pieces are rare, on byte fallback.
+#: For scripts in "other" the vocabularies hardly tell text from noise.
 BANDS = {
     "en": Band(1.20, 6.0, 1.75, 0.05, 0.30),
     "de": Band(1.20, 6.0, 1.70, 0.05, 0.30),
     "fr": Band(1.20, 6.0, 1.65, 0.05, 0.30),
     "es": Band(1.20, 6.0, 1.64, 0.05, 0.30),
-    "latin": Band(1.10, 6.0, 1.40, 0.10, 0.25),
+    "latin": Band(1.10, 6.0, 1.55, 0.10, 0.25),
+    "cyrillic": Band(1.00, 6.0, 1.35, 0.10, 0.25),
+    "greek": Band(0.60, 6.0, 1.35, 0.10, 0.25),
+    "arabic": Band(0.60, 6.0, 1.08, 0.12, 0.25),
+    "hebrew": Band(0.60, 6.0, 1.28, 0.10, 0.25),
+    "devanagari": Band(0.55, 6.0, 0.66, 0.30, 0.25),
+    "thai": Band(0.60, 6.0, 0.82, 0.25, 0.25),
+    "han": Band(0.50, 6.0, 0.60, 0.55, 0.25),
+    "kana": Band(0.55, 6.0, 0.80, 0.22, 0.25),
+    "hangul": Band(0.45, 6.0, 0.65, 0.50, 0.25),
+    # Code points of private use or without a meaning: no text of them is kept.
+    "unassigned": Band(float("inf"), 6.0, 0.0, 1.0, 0.0),
     "other": Band(0.30, 6.0, 0.25, 0.95, 0.25),
 }
 
 
+SCRIPTS = ("latin", "cyrillic", "greek", "arabic", "hebrew", "devanagari", "thai", "han", "kana", "hangul", "unassigned", "other")
+#: Where the letters of each script are; the marks within are counted with them.
+PLACES = {
+    "latin": ((0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xBA, 0xBA), (0xC0, 0x2AF), (0x1D00, 0x1D25), (0x1D6B, 0x1D77),
+              (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA722, 0xA7FF), (0xAB30, 0xAB64), (0xFB00, 0xFB06), (0xFF21, 0xFF5A)),
+    "cyrillic": ((0x400, 0x52F), (0x1C80, 0x1C8F), (0x2DE0, 0x2DFF), (0xA640, 0xA69F)),
+    "greek": ((0x370, 0x3FF), (0x1F00, 0x1FFF)),
+    "arabic": ((0x600, 0x6FF), (0x750, 0x77F), (0x870, 0x8FF), (0xFB50, 0xFDFF), (0xFE70, 0xFEFC)),
+    "hebrew": ((0x590, 0x5FF), (0xFB1D, 0xFB4F)),
+    "devanagari": ((0x900, 0x97F), (0xA8E0, 0xA8FF)),
+    "thai": ((0xE00, 0xE7F),),
+    "han": ((0x3005, 0x3007), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF)),
+    "kana": ((0x3041, 0x30FF), (0x31F0, 0x31FF), (0xFF66, 0xFF9F), (0x1AFF0, 0x1B16F)),
+    "hangul": ((0x1100, 0x11FF), (0x3131, 0x318E), (0xA960, 0xA97F), (0xAC00, 0xD7FF), (0xFFA0, 0xFFDC)),
+}
+
+
+def _script_table() -> np.ndarray:
+    """The script of every code point as its place in SCRIPTS, and one more for what
+    is no letter."""
+    kinds = [unicodedata.category(chr(c)) for c in range(0x110000)]
+    letter = np.array([k[0] in "LM" for k in kinds])
+    out = np.where(letter, SCRIPTS.index("other"), len(SCRIPTS)).astype(np.uint8)
+    for name, places in PLACES.items():
+        for lo, hi in places:
+            out[lo : hi + 1][letter[lo : hi + 1]] = SCRIPTS.index(name)
+    out[0x300:0x370][letter[0x300:0x370]] = len(SCRIPTS)  # marks of any script
+    out[0xFE00:0xFE10] = out[0xE0100:0xE01F0] = len(SCRIPTS)
+    out[np.array([k in ("Co", "Cn") for k in kinds])] = SCRIPTS.index("unassigned")
+    return out
+
+
+def _script(text: bytes | None) -> str:
+    """The script of most letters. Han and kana count as one, which is kana if a
+    tenth of it is."""
+    table = A.process_cache("scripts", _script_table)
+    codes = np.frombuffer((text or b"").decode().encode("utf-32-le"), np.uint32)
+    count = dict(zip(SCRIPTS, np.bincount(table[codes], minlength=len(SCRIPTS) + 1).tolist(), strict=False))
+    kana, han = count.pop("kana"), count.pop("han")
+    count["kana" if 10 * kana >= kana + han else "han"] = kana + han
+    best = max(count, key=count.__getitem__)
+    return best if count[best] else "other"
+
+
 @dataclass(frozen=True)
 class Rules:
     pieces_path: str
@@ -129,7 +189,8 @@ def _measure(rules: Rules):
             lead = (data & 0xC0) != 0x80
             chars = A.row_sums(lead & A.NOT_SPACE[data], offsets)
             n_tokens, entropy, singles, by_rank = [], [], [], []
-            for text in piece.column("text").cast(pa.binary()).to_pylist():
+            texts = piece.column("text").cast(pa.binary()).to_pylist()
+            for text in texts:
                 both_ids = np.frombuffer(b"".join(map(known.__getitem__, (text or b"").split())), np.uint16)
                 head = both_ids >= COUNT
                 ids = both_ids[~head]
@@ -141,11 +202,10 @@ def _measure(rules: Rules):
                 by_rank.append(int((both_ids[head] & (COUNT - 1)).sum(dtype=np.int64)))
             tokens = np.array(n_tokens, np.int64)
             at_least = np.maximum(tokens, 1)
-            latin = A.row_sums((data >= 0x41) & (data < 0x7B) | (data >= 0xC3) & (data <= 0xC9), offsets)
-            band = [
-                lang if lang in bands else "latin" if 2 * a >= c else "other"
-                for lang, a, c in zip(piece.column("lang").to_pylist(), latin.tolist(), chars.tolist(), strict=True)
-            ]
+            band = []
+            for lang, text in zip(piece.column("lang").to_pylist(), texts, strict=True):
+                name = lang if lang in bands else _script(text)
+                band.append(name if name in bands else "other")
             yield pa.RecordBatch.from_pydict(
                 ({"row": piece.column("row")} if "row" in piece.schema.names else {})
                 | {

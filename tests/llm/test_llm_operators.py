@@ -146,6 +146,49 @@ def test_quality_rejects_shouting_and_keeps_prose(spark):
     assert not any(r["kept"] for r in out if r["text"].isupper() and r["n_tokens"] > 100)
 
 
+#: From the Universal Declaration of Human Rights; Chinese and Japanese spaced by clauses.
+REAL_TEXT = [
+    ("cyrillic", "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства. Каждый человек должен обладать всеми правами и всеми свободами, провозглашенными настоящей Декларацией, без какого бы то ни было различия, как-то в отношении расы, цвета кожи, пола, языка, религии, политических или иных убеждений, национального или социального происхождения. Каждый человек имеет право на жизнь, на свободу и на личную неприкосновенность."),
+    ("cyrillic", "Всі люди народжуються вільними і рівними у своїй гідності та правах. Вони наділені розумом і совістю і повинні діяти у відношенні один до одного в дусі братерства. Кожна людина повинна мати всі права і всі свободи, проголошені цією Декларацією, незалежно від раси, кольору шкіри, статі, мови, релігії, політичних або інших переконань."),
+    ("cyrillic", "Всички хора се раждат свободни и равни по достойнство и права. Те са надарени с разум и съвест и следва да се отнасят помежду си в дух на братство. Всеки човек има право на живот, свобода и лична сигурност."),
+    ("greek", "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα. Είναι προικισμένοι με λογική και συνείδηση, και οφείλουν να συμπεριφέρονται μεταξύ τους με πνεύμα αδελφοσύνης. Κάθε άνθρωπος δικαιούται να επικαλείται όλα τα δικαιώματα και όλες τις ελευθερίες που προκηρύσσει η παρούσα Διακήρυξη, χωρίς καμία απολύτως διάκριση."),
+    ("arabic", "يولد جميع الناس أحرارا متساوين في الكرامة والحقوق. وقد وهبوا عقلا وضميرا وعليهم أن يعامل بعضهم بعضا بروح الإخاء. لكل إنسان حق التمتع بكافة الحقوق والحريات الواردة في هذا الإعلان، دون أي تمييز، كالتمييز بسبب العنصر أو اللون أو الجنس أو اللغة أو الدين أو الرأي السياسي أو أي رأي آخر. لكل فرد الحق في الحياة والحرية وسلامة شخصه."),
+    ("arabic", "تمام افراد بشر آزاد به دنیا می‌آیند و از لحاظ حیثیت و حقوق با هم برابرند. همه دارای عقل و وجدان هستند و باید نسبت به یکدیگر با روح برادری رفتار کنند. هر کس حق زندگی، آزادی و امنیت شخصی دارد."),
+    ("hebrew", "כל בני האדם נולדו בני חורין ושווים בערכם ובזכויותיהם. כולם חוננו בתבונה ובמצפון, לפיכך חובה עליהם לנהוג איש ברעהו ברוח של אחווה."),
+    ("devanagari", "सभी मनुष्यों को गौरव और अधिकारों के मामले में जन्मजात स्वतन्त्रता और समानता प्राप्त है। उन्हें बुद्धि और अन्तरात्मा की देन प्राप्त है और परस्पर उन्हें भाईचारे के भाव से बर्ताव करना चाहिए। सभी को इस घोषणा में सन्निहित सभी अधिकारों और आज़ादियों को प्राप्त करने का हक़ है और इस मामले में जाति, वर्ण, लिंग, भाषा, धर्म, राजनीति या अन्य विचार-प्रणाली का विचार न किया जाएगा। प्रत्येक व्यक्ति को जीवन, स्वाधीनता और वैयक्तिक सुरक्षा का अधिकार है।"),
+    ("han", "人人 生而自由， 在尊严和权利上 一律平等。 他们赋有理性和良心， 并应以兄弟关系的精神 相对待。 人人有资格享有本宣言所载的一切权利和自由， 不分种族、肤色、性别、语言、宗教、政治或其他见解、 国籍或社会出身、财产、出生或其他身分等任何区别。 人人有权享有生命、自由和人身安全。 任何人不得使为奴隶或奴役； 一切形式的奴隶制度和奴隶买卖， 均应予以禁止。"),
+    ("kana", "すべての人間は、 生まれながらにして自由であり、 かつ、 尊厳と権利とについて平等である。 人間は、 理性と良心とを授けられており、 互いに同胞の精神をもって行動しなければならない。 すべて人は、 人種、皮膚の色、性、言語、宗教、 政治上その他の意見、 いかなる事由による差別をも受けることなく、 この宣言に掲げるすべての権利と自由とを享有することができる。"),
+    ("hangul", "모든 인간은 태어날 때부터 자유로우며 그 존엄과 권리에 있어 동등하다. 인간은 천부적으로 이성과 양심을 부여받았으며 서로 형제애의 정신으로 행동하여야 한다. 모든 사람은 인종, 피부색, 성, 언어, 종교, 정치적 또는 기타의 견해, 민족적 또는 사회적 출신, 재산, 출생 또는 기타의 신분과 같은 어떠한 종류의 차별이 없이, 이 선언에 규정된 모든 권리와 자유를 향유할 자격이 있다. 모든 사람은 생명과 신체의 자유와 안전에 대한 권리를 가진다."),
+    ("latin", "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa. Każdy człowiek posiada wszystkie prawa i wolności zawarte w niniejszej Deklaracji bez względu na różnice rasy, koloru, płci, języka."),
+    ("latin", "Tất cả mọi người sinh ra đều được tự do và bình đẳng về nhân phẩm và quyền lợi. Mọi con người đều được tạo hoá ban cho lý trí và lương tâm và cần phải đối xử với nhau trong tình bằng hữu."),
+    ("latin", "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler."),
+    ("latin", "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä."),
+]
+RANDOM_LETTERS = {
+    "latin": (0x61, 0x7B), "cyrillic": (0x410, 0x450), "greek": (0x3B1, 0x3CA), "arabic": (0x621, 0x64B), "hebrew": (0x5D0, 0x5EB),
+    "devanagari": (0x905, 0x93A), "thai": (0xE01, 0xE2F), "han": (0x4E00, 0x9FA6), "kana": (0x3041, 0x3097), "hangul": (0xAC00, 0xD7A4),
+    "unassigned": (0xE000, 0xF900),
+}
+
+
+def random_words(lo, hi, n, seed):
+    rng = random.Random(seed)
+    return " ".join("".join(chr(rng.randrange(lo, hi)) for _ in range(rng.randint(3, 9))) for _ in range(n))
+
+
+def test_quality_tells_text_from_random_letters_in_each_script(spark):
+    rows = [(i, text, None, band, True) for i, (band, text) in enumerate(REAL_TEXT)]
+    noise = [(band, random_words(lo, hi, 200, seed)) for band, (lo, hi) in RANDOM_LETTERS.items() for seed in range(5)]
+    noise += [("kana", random_words(0x30A1, 0x30FB, 200, 1)), ("unassigned", random_words(0x50000, 0x60000, 200, 1))]
+    rows += [(100 + i, text, "xx", band, False) for i, (band, text) in enumerate(noise)]
+    given = spark.createDataFrame(rows, "doc_id long, text string, lang string, want string, real boolean")
+    bands = {r["doc_id"]: r["band"] for r in given.mapInArrow(quality._measure(quality.default_rules()), quality.MEASURES).collect()}
+    got = {r["doc_id"]: r for r in quality.judge(given).collect()}
+    for i, text, _, band, real in rows:
+        assert bands[i] == band, text[:40]
+        assert got[i]["kept"] == real, (band, text[:40], got[i])
+
+
 def test_shards_are_near_equal_and_slots_gapless(spark, docs):
     rows = {i: len((t or "").encode()) + 8 for i, t, *_ in small_rows()}
     out = sharding.shard_documents(docs, 3).collect()
