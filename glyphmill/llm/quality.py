@@ -28,8 +28,8 @@ MEASURES = (
     "n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, "
     "token_entropy double, rank_chars_per_token double, band string"
 )
-#: Marks, among the remembered numbers of a word, how many byte-level tokens it has;
-#: the ids of the piece vocabulary are below.
+#: Marks, among the remembered numbers of a word, how many byte-level tokens it has
+#: (the sum of all that are so marked); the ids of the piece vocabulary are below.
 COUNT = 1 << 15
 SYMBOL = np.zeros(256, bool)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -127,8 +127,12 @@ class Rules:
     pieces_path: str
     ranks_path: str
     bands: dict[str, Band] = field(default_factory=lambda: dict(BANDS))
-    #: Texts of fewer tokens are too short to be judged by their fertility.
-    min_tokens: int = 60
+    #: The limits hold from so many tokens on; those of n tokens are wider by
+    #: 1 / n - 1 / full_tokens times the two factors below: limits of characters by a
+    #: share of themselves, that of bytes by so many byte tokens (two emoji).
+    full_tokens: int = 60
+    wider_fertility: float = 2.0
+    wider_bytes: float = 8.0
 
 
 def default_rules() -> Rules:
@@ -176,7 +180,8 @@ def _measure(rules: Rules):
 
         def both(word: bytes) -> bytes:
             text = word.decode()
-            return np.array([COUNT | min(len(ranks.encode_ordinary(" " + text)), COUNT - 1), *encode(text)], np.uint16).tobytes()
+            whole, rest = divmod(len(ranks.encode_ordinary(" " + text)), COUNT - 1)
+            return np.array([*[2 * COUNT - 1] * whole, COUNT | rest, *encode(text)], np.uint16).tobytes()
 
         known = A.process_cache(f"fertility:{rules.pieces_path}:{rules.ranks_path}", lambda: V.Remembered(both))
         byte_id = np.zeros(1 << 16, bool)
@@ -239,7 +244,7 @@ def judge(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
     used, ``reason`` the first one broken, and ``kept`` the verdict.
 
     Defined cases: a null or empty text has no words and fails; a text of fewer
-    than ``min_tokens`` tokens is judged by the base alone; a null language, or one
+    than ``full_tokens`` tokens is judged by wider limits; a null language, or one
     without a band, goes by script; repeated rows are each judged; an empty table
     gives an empty result. Other columns are not read.
     """
@@ -264,15 +269,17 @@ def _verdicts(measured: DataFrame, rules: Rules) -> DataFrame:
     def limit(name: str):
         return F.coalesce(*[F.when(F.col("band") == b, F.lit(getattr(v, name))) for b, v in rules.bands.items()])
 
-    most = F.log2(F.greatest(F.col("n_tokens"), F.lit(2)).cast("double"))
+    n = F.greatest(F.col("n_tokens"), F.lit(1)).cast("double")
+    short = F.greatest(1 / n - 1 / rules.full_tokens, F.lit(0.0))
+    less, more = 1 - rules.wider_fertility * short, 1 + rules.wider_fertility * short
+    most = F.log2(F.greatest(n, F.lit(2.0)))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     reason = (
         F.when(F.col("base_failed"), F.lit("base"))
-        .when(F.col("n_tokens") < rules.min_tokens, F.lit(None).cast("string"))
-        .when(F.col("chars_per_token") < limit("min_chars_per_token"), F.lit("fertility"))
-        .when(F.col("chars_per_token") > limit("max_chars_per_token"), F.lit("long_tokens"))
-        .when(F.col("rank_chars_per_token") < limit("min_rank_chars_per_token"), F.lit("rank_fertility"))
-        .when(F.col("byte_share") > limit("max_byte_share"), F.lit("byte_fallback"))
+        .when(F.col("chars_per_token") < limit("min_chars_per_token") * less, F.lit("fertility"))
+        .when(F.col("chars_per_token") > limit("max_chars_per_token") * more, F.lit("long_tokens"))
+        .when(F.col("rank_chars_per_token") < limit("min_rank_chars_per_token") * less, F.lit("rank_fertility"))
+        .when(F.col("byte_share") > limit("max_byte_share") + rules.wider_bytes * short, F.lit("byte_fallback"))
         .when(F.col("entropy_share") < limit("min_entropy_share"), F.lit("entropy"))
     )
     return (

@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from glyphmill.llm import chat, decontaminate, html, near_dup, packing, quality, secrets, sharding, substring, trigrams, urls
+from glyphmill.llm import chat, decontaminate, html, near_dup, packing, quality, secrets, sharding, substring, trigrams, urls, vocab
 from glyphmill.llm.plans import BAD_WORDS, QUERIES, URL_RULES
 from oracle import compare, connect
 
@@ -189,6 +189,26 @@ def test_quality_tells_text_from_random_letters_in_each_script(spark):
         assert got[i]["kept"] == real, (band, text[:40], got[i])
 
 
+def test_quality_judges_short_texts_and_counts_all_tokens_of_a_long_word(spark):
+    tell = random_words(0x61, 0x7B, 14, 3)
+    rng = random.Random(5)
+    solid = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(300_000))
+    rows = [
+        (0, tell, "en", False),
+        (1, random_words(0xE01, 0xE2F, 10, 3), "en", False),
+        (2, "we went to the market this morning and came back with bread", "en", True),
+        (3, "great product, I love it and would buy it again \U0001F600 \U0001F600", "en", True),
+        (4, REAL_TEXT[0][1][:90], None, True),
+        (5, "a b c d e f g h i " + solid, "en", False),
+    ]
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, real boolean")).collect()}
+    assert got[0]["n_tokens"] < 60 and got[3]["n_tokens"] < 60
+    assert {i: r["kept"] for i, r in got.items()} == {i: real for i, _, _, real in rows}
+    ranks = vocab.byte_ranks(quality.default_rules().ranks_path)
+    n = sum(len(ranks.encode_ordinary(" " + w)) for w in rows[5][1].split())
+    assert n > 3 * 32_767 and got[5]["rank_chars_per_token"] == pytest.approx(got[5]["word_chars"] / n)
+
+
 def test_shards_are_near_equal_and_slots_gapless(spark, docs):
     rows = {i: len((t or "").encode()) + 8 for i, t, *_ in small_rows()}
     out = sharding.shard_documents(docs, 3).collect()
