@@ -45,15 +45,23 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 18),
     Rule("hex", r"[0-9a-f]{16,}"),  # the runs of 16 or more
 )
+_KEY = r"(?:[A-Z0-9]+\x20)*PRIVATE\x20KEY(?:\x20BLOCK)?-----"
+_GAP = r"""(?:\s|\\[nrt]|[>|"',#*])"""
+#: What follows the header of a key that has no END: header fields, then base64 by
+#: lines or, in one line, by chunks, of which the last may be short.
+_TORN = (
+    rf"(?:{_GAP}*+(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID):[^\n\\]*+)*+"
+    rf"(?:{_GAP}*+(?:[A-Za-z0-9+/]{{16,}}+=*+|[A-Za-z0-9+/]++=++|[A-Za-z0-9+/]++(?=\s*(?:\n|\Z))))*+"
+)
 #: Published forms of tokens and keys.
 MORE_RULES = (
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----"),
+    Rule("private_key", rf"-----BEGIN {_KEY}(?:(?:(?!-----BEGIN\x20)[\s\S])*?-----END {_KEY}|{_TORN})"),
     Rule("git_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("cloud_key", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("pay_key", r"[sr]k_live_[A-Za-z0-9]{16,}"),
-    Rule("url_login", r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,64}:[^\s/:@]{3,64}@"),
+    Rule("url_login", r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]*+:[^\s/@]++@"),
 )
 
 
