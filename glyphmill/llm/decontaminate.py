@@ -8,6 +8,10 @@ can be asked again for another benchmark.
 A phrase is looked up from its rarest term in the shard: that list, shifted by
 the term's place in the phrase, is intersected with the list of the next rarest
 term, and so on. A phrase with a term the shard lacks costs one look.
+
+For proximity, bit maps of the documents that hold a term say which of them hold all
+of a phrase, or all but one term; only there are positions compared, from the term
+that is rarest in the whole corpus.
 """
 
 from __future__ import annotations
@@ -27,6 +31,8 @@ FOUND = (
 )
 #: Bytes of benchmark text matched in one pass; a larger benchmark takes several.
 PASS_BYTES = 16 << 20
+#: Documents that share a bit map, windows and positions compared at once.
+BLOCK_DOCS, BLOCK_WINDOWS, BLOCK_PLACES = 1 << 12, 1 << 11, 1 << 20
 
 
 def _words(column: pa.Array) -> A.Words:
@@ -117,22 +123,94 @@ def _phrase_starts(shard: _Shard, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return at[shard.row_of(at) == shard.row_of(at + len(lo) - 1)] if len(at) else at
 
 
-def _near_rows(shard: _Shard, lo: np.ndarray, hi: np.ndarray, rare: int, slack: int) -> np.ndarray:
-    """Rows in which the ``rare`` rarest terms stand within ``slack`` words of the
-    rarest one, in any order."""
-    rarest = np.argsort(hi - lo, kind="stable")[:rare]
-    at = shard.postings(lo[rarest[0]], hi[rarest[0]])
-    row = shard.row_of(at)
-    for k in rarest[1:]:
-        there = shard.postings(lo[k], hi[k])
-        left = np.maximum(at - slack, shard.first[row])
-        right = np.minimum(at + slack, shard.first[row + 1] - 1)
-        good = np.searchsorted(there, right, "right") > np.searchsorted(there, left, "left")
-        at, row = at[good], row[good]
-    return np.unique(row)
-
+def _frequencies(index: DataFrame, terms: np.ndarray) -> np.ndarray:
+    """How often each of the terms occurs in the corpus."""
 
-def _search(phrases, rare: int, slack: int):
+    def count(batches):
+        total = np.zeros(len(terms), np.int64)
+        for batch in batches:
+            for row in batch.to_pylist():
+                lo, hi = _Shard(row | {"doc_ids": [], "first": b"", "places": b""}).lookup(terms)
+                total += hi - lo
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"term": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
+
+    out = np.zeros(len(terms), np.int64)
+    for term, n in index.select("terms", "starts").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n")).collect():
+        out[term] = n
+    return out
+
+
+class _Near:
+    """Proximity of windows: their different terms by corpus counts, rarest first
+    (then by place in the window), as places in ``terms``; -1 fills up."""
+
+    def __init__(self, phrases, rare: int, slack: int, terms: np.ndarray, counts: np.ndarray):
+        self.slack, self.terms = slack, terms
+        rows = []
+        for phrase, _ in phrases:
+            own = list(dict.fromkeys(np.searchsorted(terms, phrase).tolist()))
+            rows.append(sorted(own, key=counts.__getitem__))
+        self.order = np.full((len(rows), max(map(len, rows), default=1)), -1, np.int64)
+        for k, own in enumerate(rows):
+            self.order[k, : len(own)] = own
+        # One term may be missing where ``rare`` of them are left.
+        self.spare = np.array([len(own) > max(rare, 1) for own in rows], bool)
+
+    def find(self, shard: _Shard) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Parts of all pairs (row, window)."""
+        lo, hi = shard.lookup(self.terms)
+        size, n = hi - lo, int(shard.first[-1])
+        term = np.repeat(np.arange(len(size)), size)
+        places = shard.places[np.arange(len(term)) + np.repeat(lo - np.cumsum(size) + size, size)].astype(np.int64)
+        keys, row = term * n + places, shard.row_of(places)
+        out = []
+        for base in range(0, len(shard.ids), BLOCK_DOCS):
+            docs = min(BLOCK_DOCS, len(shard.ids) - base)
+            here = (row >= base) & (row < base + docs)
+            held = np.zeros((len(size) + 1, (docs + 63) // 64), np.uint64)
+            held[-1] = ~np.uint64(0)
+            at = row[here] - base
+            np.bitwise_or.at(held, (term[here], at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+            for w in range(0, len(self.order), BLOCK_WINDOWS):
+                order = self.order[w : w + BLOCK_WINDOWS]
+                all_held, but_one = np.full((len(order), held.shape[1]), ~np.uint64(0)), np.zeros((len(order), held.shape[1]), np.uint64)
+                for k in range(order.shape[1]):
+                    has = held[order[:, k]]
+                    but_one = (but_one & has) | (all_held & ~has)
+                    all_held &= has
+                all_held[self.spare[w : w + BLOCK_WINDOWS]] |= but_one[self.spare[w : w + BLOCK_WINDOWS]]
+                window, doc = np.nonzero(np.unpackbits(all_held.view(np.uint8), axis=1, bitorder="little"))
+                out += self._close(shard, keys, n, held, base, order, window, doc, w)
+        return out
+
+    def _close(self, shard, keys, n, held, base, order, window, doc, first_window):
+        def has(term, doc):
+            return (held[term, doc >> 6] >> (doc & 63).astype(np.uint64)) & np.uint64(1) > 0
+
+        anchor = np.where(has(order[window, 0], doc), order[window, 0], order[window, min(1, order.shape[1] - 1)])
+        begin, end = shard.first[base + doc], shard.first[base + doc + 1]
+        left, right = np.searchsorted(keys, anchor * n + begin), np.searchsorted(keys, anchor * n + end)
+        total = np.cumsum(right - left)
+        start, done = 0, 0
+        while start < len(doc):
+            stop = max(start + 1, int(np.searchsorted(total, done + BLOCK_PLACES, "right")))
+            size = right[start:stop] - left[start:stop]
+            pair = np.repeat(np.arange(start, stop), size)
+            at = keys[np.arange(len(pair)) + np.repeat(left[start:stop] - np.cumsum(size) + size, size)] - anchor[pair] * n
+            for k in range(order.shape[1]):
+                term = order[window[pair], k]
+                a = np.maximum(at - self.slack, begin[pair])
+                b = np.minimum(at + self.slack, end[pair] - 1)
+                near = np.searchsorted(keys, term * n + b, "right") > np.searchsorted(keys, term * n + a, "left")
+                good = near | (term < 0) | ~has(term, doc[pair])
+                pair, at = pair[good], at[good]
+            pair = np.unique(pair)
+            yield base + doc[pair], first_window + window[pair]
+            done, start = total[stop - 1], stop
+
+
+def _search(phrases, proximity: _Near | None):
     lengths = np.array([len(p) for p, _ in phrases], int)
     bounds = np.r_[0, np.cumsum(lengths)].astype(int)
     flat = np.concatenate([p for p, _ in phrases]) if phrases else np.zeros(0, np.uint64)
@@ -153,12 +231,9 @@ def _search(phrases, rare: int, slack: int):
                         exact[r].update(phrases[w][1])
                     if len(starts):
                         hit |= A.covered(starts, b - a, len(hit))
-                if slack:
-                    for w in np.flatnonzero((missing <= 1) & (lengths > missing)):
-                        a, b = bounds[w], bounds[w + 1]
-                        there = hi[a:b] > lo[a:b]
-                        for r in _near_rows(shard, lo[a:b][there], hi[a:b][there], rare, slack):
-                            near[r].update(phrases[w][1])
+                for rows, windows in proximity.find(shard) if proximity and len(hit) else ():
+                    for r, w in zip(rows.tolist(), windows.tolist(), strict=True):
+                        near[r].update(phrases[w][1])
                 yield _rows(shard, hit, exact, near)
 
     return search
@@ -200,16 +275,18 @@ def _passes(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
 
 
 def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, window: int = 13, rare: int = 4, slack: int = 0
+    docs: DataFrame, benchmark: DataFrame, window: int = 13, rare: int = 4, slack: int = 0, shard_bytes: int = 2 << 20
 ) -> DataFrame:
     """Where windows of benchmark items occur in documents.
 
     A window is ``window`` consecutive words of an item; a shorter item is one
     window. Per document: ``doc_id, n_words, n_hit`` (words inside any occurrence),
     ``spans`` (those words as ranges of word positions), ``phrase_items`` (items
-    with a window that occurs) and, with ``slack`` over 0, ``near_items``: items
-    with a window of which at most one word is unknown to the shard and whose
-    ``rare`` rarest known words stand within ``slack`` words of the rarest.
+    with a window that occurs) and, with ``slack`` over 0, ``near_items``: items with
+    a window of which the document lacks at most one different word (none if fewer
+    than ``rare`` would be left) and has all others within ``slack`` words of some
+    occurrence of the one that is rarest in the whole corpus. With a slack of
+    ``window - 1`` or more these include ``phrase_items``.
 
     Defined cases: null or empty texts have no words and no hits; an item without
     words is no window and never occurs; a null item is left out; repeated items
@@ -217,19 +294,27 @@ def find_contamination(
     document table gives an empty result. Other columns are not read.
     """
     parts = _passes(benchmark)
-    index = build_index(docs)
+    index = build_index(docs, shard_bytes)
     if len(parts) == 1:
         stored = materialize(index, "postings")
-        return stored.mapInArrow(_search(_phrases(parts[0], window), rare, slack), FOUND)
+        phrases = _phrases(parts[0], window)
+        return stored.mapInArrow(_search(phrases, _proximity(stored, phrases, rare, slack)), FOUND)
     # Several passes: the same index, each document's finds put together again.
     numbered = materialize(index.withColumn("shard", F.expr("uuid()")), "postings")
     return _merge(numbered, [_phrases(p, window) for p in parts], rare, slack)
 
 
+def _proximity(index: DataFrame, phrases: list, rare: int, slack: int) -> _Near | None:
+    if not slack or not phrases:
+        return None
+    terms = np.unique(np.concatenate([p for p, _ in phrases]))
+    return _Near(phrases, rare, slack, terms, _frequencies(index, terms))
+
+
 def _merge(index: DataFrame, passes: list, rare: int, slack: int) -> DataFrame:
     found = None
     for phrases in passes:
-        search = _search(phrases, rare, slack)
+        search = _search(phrases, _proximity(index, phrases, rare, slack))
 
         def keyed(batches, search=search):
             for batch in batches:

@@ -88,6 +88,18 @@ def _contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Words to each side of the rarest one in which op2_benchmark_proximity wants the others.
+SLACK = 16
+
+
+@query("op2_benchmark_proximity")
+def _proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_contamination(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13, slack=SLACK
+    )
+    return decontaminate.contaminated(found).select("doc_id", "n_words", "n_hit", "phrase_items", "near_items", "contaminated")
+
+
 @query("op3_html_extraction")
 def _html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_text(table(spark, sf_dir, "pages"))

@@ -96,6 +96,36 @@ def test_decontamination_equals_brute_force_in_any_number_of_passes(spark, docs,
     assert len(none) == len(rows) and all(r["n_hit"] == 0 for r in none)
 
 
+def test_proximity_equals_brute_force_for_any_shards_and_passes(spark, monkeypatch):
+    rng = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(40)]
+    texts = [None, "", "w1"] + [" ".join(rng.choice(vocabulary[: rng.choice((12, 25, 40))]) for _ in range(rng.randint(1, 90))) for _ in range(150)]
+    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 9)))) for k in range(40)] + [(90, "w1 w1 w2 nowhere w3 w4 w5"), (91, "w7 w7")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    count = Counter(w for t in texts for w in (t or "").split())
+    want = {}
+    for i, text in enumerate(texts):
+        have, near = (text or "").split(), set()
+        for item, phrase in items:
+            p = phrase.split()
+            for j in range(max(1, len(p) - 5)):
+                own = sorted(dict.fromkeys(p[j : j + 6]), key=count.__getitem__)
+                known = [w for w in own if w in have]
+                if not known or len(known) < max(len(own) - 1, min(3, len(own))):
+                    continue
+                at = [k for k, w in enumerate(have) if w == known[0]]
+                if any(all(w in have[max(0, k - 7) : k + 8] for w in known) for k in at):
+                    near.add(item)
+        want[i] = sorted(near)
+    assert sum(map(bool, want.values())) > 20
+    for size, bytes_ in ((300, decontaminate.PASS_BYTES), (2 << 20, decontaminate.PASS_BYTES), (5000, 400)):
+        monkeypatch.setattr(decontaminate, "PASS_BYTES", bytes_)
+        out = decontaminate.find_contamination(docs, bench, window=6, rare=3, slack=7, shard_bytes=size).collect()
+        assert {r["doc_id"]: r["near_items"] for r in out} == want
+        assert all(set(r["phrase_items"]) <= set(r["near_items"]) for r in out)
+
+
 def test_near_duplicates_equal_brute_force_by_pairs_and_by_blocks(docs, monkeypatch):
     sets = {}
     for i, text, *_ in small_rows():
