@@ -23,9 +23,14 @@ TEXT = "page_id long, text string, n_blocks long, n_list_items long, n_table_row
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript title iframe object audio video canvas svg math datalist noembed noframes".split())
+HIDDEN = frozenset("head script style template noscript title iframe object audio video canvas datalist noembed noframes".split())
+#: Within SVG or MathML, what is not shown.
+HIDDEN_WITHIN = {"svg": frozenset("title desc defs metadata".split()), "math": frozenset(["annotation", "annotation-xml"])}
+FOREIGN = frozenset([*HIDDEN_WITHIN, "foreignobject"])
+#: Parts of charts and formulas that stand apart.
+APART = frozenset("text mtd".split())
 #: Lines of their own; those in SPACED also keep a blank line around them.
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table ul ol dl figure".split())
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre xmp table ul ol dl figure".split())
 BLOCK = SPACED | frozenset(
     "html body address article aside center dd details dialog dir div dt fieldset figcaption footer form header hgroup "
     "hr legend li main menu nav optgroup option search section summary caption tr thead tbody tfoot".split()
@@ -121,6 +126,7 @@ class _Page:
         self.tables: list[list[list[tuple[list[str], int]]]] = []
         self.lists: list[list] = []  # [ordered, next number]
         self.pre = 0
+        self.foreign: list[str] = []  # svg and math that are open, and HTML inside them
         self.blocks = self.items = self.rows = 0
 
     # The tree: which elements are open.
@@ -128,7 +134,14 @@ class _Page:
     def hidden(self) -> bool:
         return bool(self.open) and self.open[-1][1]
 
+    def within(self) -> str:
+        """svg or math, if one is open and no HTML inside it."""
+        return self.foreign[-1] if self.foreign and self.foreign[-1] in HIDDEN_WITHIN else ""
+
     def start(self, tag: str, raw: str) -> None:
+        around = tag if tag in HIDDEN_WITHIN else self.within()
+        if around and raw.endswith("/") and not re.search(r"=[^\s\"'=]*/$", raw):
+            return  # ends itself; in HTML the slash means nothing
         if tag in ENDS:
             self._close_up_to(*ENDS[tag])
         elif tag not in HEAD_ONLY and self.open and self.open[-1][0] == "head":
@@ -137,7 +150,7 @@ class _Page:
             self._close_up_to(("p",), SCOPE)
         if tag in ("td", "th") and (not self.open or self.open[-1][0] != "tr") and self.tables:
             self.start("tr", "")
-        hide = self.hidden() or tag in HIDDEN
+        hide = self.hidden() or tag in HIDDEN or tag in HIDDEN_WITHIN.get(around, ())
         marks: dict[str, str] = {}
         if raw and not hide:
             marks = _attributes(raw)
@@ -148,6 +161,10 @@ class _Page:
                 self._void(tag, marks)
             return
         self.open.append((tag, hide, len(self.flows[-1].prefix)))
+        if tag in FOREIGN:
+            self.foreign.append(tag)
+        if around and tag in APART and not hide:
+            self.flows[-1].text(" ")
         if not hide:
             self._enter(tag, marks)
 
@@ -175,6 +192,10 @@ class _Page:
 
     def _pop(self) -> None:
         tag, hide, prefix = self.open.pop()
+        if tag in FOREIGN:
+            self.foreign.pop()
+        if tag in APART and not hide and self.within():
+            self.flows[-1].text(" ")
         if not hide:
             self._leave(tag, prefix)
 
@@ -217,7 +238,7 @@ class _Page:
             flow.prefix.append("    ")
         elif tag == "blockquote":
             flow.prefix.append("> ")
-        elif tag == "pre":
+        elif tag in ("pre", "xmp"):
             self.pre += 1
         elif tag == "table":
             self.tables.append([])
@@ -240,7 +261,7 @@ class _Page:
             flow.bullet = ""
         if tag in ("ul", "ol", "menu", "dir") and self.lists:
             self.lists.pop()
-        elif tag == "pre":
+        elif tag in ("pre", "xmp"):
             self.pre -= 1
         elif tag == "table" and self.tables:
             for line in _aligned(self.tables.pop()):
@@ -302,18 +323,26 @@ def render(html: str | None) -> tuple[str, int, int, int]:
             first = m[0]
             if first[0] != "<" or first == "<":
                 page.words(unescape(first))
+            elif first.startswith("<![CDATA[") and page.within():
+                stop = html.find("]]>", m.start())
+                stop = end if stop < 0 else stop
+                page.words(html[m.start() + 9 : stop])
+                at = min(end, stop + 3)
             continue
         tag = tag.lower()
         if m[1]:
             page.end(tag)
             continue
+        depth = len(page.open)
         page.start(tag, m[3])
-        if tag in RAW:
+        if tag in RAW and not (page.within() and len(page.open) <= depth and m[3].endswith("/")):
             low = html.lower() if low is None else low
             stop = low.find("</" + tag, at) if len(low) == end else html.find("</" + tag, at)
             stop = end if stop < 0 else stop
             if tag == "textarea":
                 page.words(unescape(html[at:stop]))
+            elif tag == "xmp":
+                page.words(html[at:stop])
             close = html.find(">", stop)
             at = end if close < 0 else close + 1
             page.end(tag)

@@ -408,6 +408,17 @@ def test_html_layout():
     assert html.render("<div>" * 20_000 + "deep <b")[0] == "deep <b"
 
 
+def test_html_shows_formulas_chart_labels_and_xmp():
+    page = (
+        "<p>Let <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation encoding='tex'>no</annotation></semantics></math> hold"
+        "<svg viewBox='0 0 1 1'><title>no</title><title/><desc>no</desc><desc/><defs><text>no</text></defs><defs/><metadata>no</metadata>"
+        "<path d='M0'/><style>no</style><g><text x=1>Q1</text><text>Q<tspan>2</tspan></text><text><![CDATA[a < b]]></text></g></svg>end"
+        "<svg/>more<xmp>a &amp; <b>\n  c</xmp><p>last"
+    )
+    assert html.render(page)[0] == "Let x=2 hold Q1 Q2 a < b endmore\n\na &amp; <b>\n  c\n\nlast"
+    assert html.render("<desc>yes</desc><div hidden><svg><text>no</text></svg><xmp>no</xmp></div>")[0] == "yes"
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
