@@ -295,8 +295,8 @@ def _(spark, sf):
 def _(spark, sf):
     path = scratch_path(spark, "merged")
     sinks.write_pipe_labels(merge_labels(label_rows(spark, sf)), path)
-    written = labels.read_pipe_labels(spark, path).select("image_path", "text").distinct()
-    return written.withColumn("copies", F.lit(1).cast("long"))
+    written = labels.read_pipe_labels(spark, path)
+    return written.groupBy("image_path", "text").agg(F.count("*").alias("copies"))
 
 
 @query(

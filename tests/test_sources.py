@@ -199,3 +199,13 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
     with pytest.raises(RuntimeError):
         scratch_root(_Cluster("local-cluster[2,1,1024]"))
     assert scratch_root(_Cluster("yarn", "hdfs://x/shared/")) == "hdfs://x/shared"
+
+
+def test_write_pipe_labels_query_counts_copies(spark, monkeypatch):
+    from glyphmill.plans.all import CATALOG
+    from glyphmill.sources import sinks
+
+    write = sinks.write_pipe_labels
+    monkeypatch.setattr(sinks, "write_pipe_labels", lambda rows, path: write(rows.unionByName(rows), path))
+    out = CATALOG["write_pipe_labels"].build(spark, "/root/testdata/sf0.001").collect()
+    assert out and {r["copies"] for r in out} == {2}
