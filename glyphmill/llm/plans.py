@@ -9,7 +9,21 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import chat, decontaminate, html, near_dup, packing, quality, secrets, sharding, substring, urls
+from glyphmill.llm import (
+    chat,
+    decontaminate,
+    filter_audit,
+    html,
+    near_dup,
+    packing,
+    quality,
+    repair,
+    secrets,
+    sharding,
+    substring,
+    token_counts,
+    urls,
+)
 from glyphmill.session import tune
 
 
@@ -226,3 +240,121 @@ def _secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *[count(k).alias(f"n_{k}") for k in kinds],
         sha256_of(_listed(base)).alias("base_sha256"), _listed(F.col("spans")).alias("spans"),
     )
+
+
+def _repair_sql() -> str:
+    """The repair as a recursion from the last row to the first. A path is a string:
+    nine digits of cost, the letters, chr(1), the repaired lines; the least string
+    is the least cost, then the least letters."""
+    end = "position(chr(1) IN {w})"
+
+    def edit(w: str, cost: str, letter: str, line: str | None) -> str:
+        at = end.format(w=w)
+        head = f"lpad(CAST(CAST(left({w}, 9) AS BIGINT) + {cost} AS VARCHAR), 9, '0') || '{letter}' || substr({w}, 10, {at} - 9)"
+        rest = f"substr({w}, {at} + 1)"
+        if line is None:
+            return f"({head} || {rest})"
+        return f"({head} || {line} || CASE WHEN {rest} = '' THEN '' ELSE chr(10) || {rest} END)"
+
+    then, wanted = {0: 2, 1: 2, 2: 3, 3: 2}, {0: "user", 1: "user", 2: "assistant", 3: "user"}
+
+    def inserted(source: str, keys: str) -> str:
+        step = source
+        for _ in range(2):
+            columns = ", ".join(
+                f"least(o{q}, {edit(f'w{then[q]}', '5', 'I', chr(39) + wanted[q] + ':' + chr(39))}) AS w{q}" for q in range(4)
+            )
+            step = f"SELECT {keys}, o0, o1, o2, o3, {columns} FROM ({step})"
+        return step
+
+    extra = "CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END"
+    live = "fault IN ('none', 'truncated')"
+
+    def before(q: int) -> str:
+        kept = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}[q]
+        options = [edit(f"w{q}", "2", "D", None)]
+        options += [
+            f"CASE WHEN {live} AND initial = '{c}' THEN {edit(f'w{to}', extra, 'K', 'line')} END" for c, to in kept.items()
+        ]
+        options.append(f"CASE WHEN {live} THEN {edit(f'w{then[q]}', f'(1 + {extra})', 'R', chr(39) + wanted[q] + ':' + chr(39) + ' || text')} END")
+        return f"least({', '.join(options)})"
+
+    first = "'000000000' || chr(1)"
+    start = f"SELECT conv_id, n AS pos, {first} AS o0, NULL::VARCHAR AS o1, NULL::VARCHAR AS o2, {first} AS o3, {first} AS w0, NULL::VARCHAR AS w1, NULL::VARCHAR AS w2, {first} AS w3 FROM sizes"
+    moved = f"SELECT conv_id, pos, {', '.join(f'{before(q)} AS o{q}' for q in range(4))} FROM (SELECT s.conv_id, s.pos - 1 AS pos, r.initial, r.fault, r.line, r.text, s.w0, s.w1, s.w2, s.w3 FROM steps s JOIN r ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.pos = s.pos)"
+    moved = f"SELECT conv_id, pos, o0, o1, o2, o3, o0 AS w0, o1 AS w1, o2 AS w2, o3 AS w3 FROM ({moved})"
+    crc = (
+        "xor(list_reduce(list_transform(string_split(k, ''), lambda c: CAST(ord(c) AS BIGINT)), "
+        "lambda crc, byte: list_reduce([xor(crc, byte), 1, 1, 1, 1, 1, 1, 1, 1], "
+        "lambda x, one: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END), 4294967295), 4294967295)"
+    )
+    return f"""
+WITH RECURSIVE given AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+       coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+kinds AS (SELECT *, {crc} % 20 AS kind FROM given),
+damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+       CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+       unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM kinds),
+o AS (SELECT *, sha256(length(role) || ':' || role || text) AS key,
+       row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text), copy) AS pos FROM damaged),
+r AS (SELECT conv_id, turn, pos, left(role, 1) AS initial, role || ':' || text AS line, text,
+       CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank'
+            WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+            WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 'truncated' ELSE 'none' END AS fault,
+       left(role, 1) || lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS pair FROM o),
+sizes AS (SELECT conv_id, count(*) AS n FROM r GROUP BY conv_id),
+steps AS ({inserted(start, 'conv_id, pos')}
+          UNION ALL {inserted(moved, 'conv_id, pos')}),
+best AS (SELECT conv_id, w0 AS w FROM steps WHERE pos = 0),
+facts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+       count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+       count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+       count(*) FILTER (WHERE pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(left(w, 9), '0') AS BIGINT) AS cost,
+       coalesce(substr(w, 10, position(chr(1) IN w) - 10), '') AS audit,
+       sha256(coalesce(substr(w, position(chr(1) IN w) + 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
+@query("op11_conversation_repair", _repair_sql())
+def _repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_conversations(repair.damage(table(spark, sf_dir, "conversations")))
+
+
+FILTER_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part,
+       regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+      FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+f AS (SELECT d.part, coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic,
+      CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END ||
+      CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END ||
+      CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 'C' ELSE '' END ||
+      CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END ||
+      CASE WHEN coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY text), false) THEN 'E' ELSE '' END AS fails
+      FROM d LEFT JOIN l ON l.doc_id = d.doc_id),
+h AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+orders AS (SELECT '' AS o UNION ALL SELECT o || x FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE position(x IN o) = 0),
+steps AS (SELECT o AS filter_order, CAST(s AS INTEGER) AS step, substr(o, s, 1) AS x, left(o, s - 1) AS earlier
+          FROM orders, (SELECT unnest(range(1, 6)) AS s) WHERE length(o) = 5),
+hits AS (SELECT h.part, s.filter_order, s.step, s.x, h.n, h.good, h.toxic,
+         position(s.x IN h.fails) > 0 AS fail, translate(h.fails, s.earlier, '') <> h.fails AS gone, h.fails = s.x AS alone FROM h, steps s),
+counts AS (SELECT part, filter_order, step, x, coalesce(sum(n) FILTER (WHERE NOT fail AND NOT gone), 0) AS kept,
+           coalesce(sum(n) FILTER (WHERE fail AND NOT gone), 0) AS removed, coalesce(sum(n) FILTER (WHERE fail AND gone), 0) AS redundant,
+           coalesce(sum(n) FILTER (WHERE alone), 0) AS unique_fails, coalesce(sum(good) FILTER (WHERE fail AND NOT gone), 0) AS good_lost,
+           coalesce(sum(toxic) FILTER (WHERE fail AND NOT gone), 0) AS toxic_lost FROM hits GROUP BY ALL)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+       unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley FROM counts"""
+
+
+@query("op12_filter_audit", FILTER_SQL)
+def _filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_token_counts")
+def _token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), limit=4096)
