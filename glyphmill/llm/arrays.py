@@ -37,6 +37,14 @@ def process_cache(key: str, make: Callable):
     return getattr(holder, key)
 
 
+def leave_only(*keys: str) -> None:
+    """Drop what this worker keeps under keys that begin otherwise. Workers outlive
+    a stage, and what one has loaded must not take memory from the next."""
+    holder = sys.modules.get("_glyphmill_worker")
+    for name in [n for n in (vars(holder) if holder else ()) if not n.startswith(("__", *keys))]:
+        delattr(holder, name)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
@@ -56,7 +64,7 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         return table(base, size), table(pow(base, -1, 2**64), size)
 
     size = 1 << max(20, int(n).bit_length())
-    if size > 1 << 22:  # one very long text: not kept
+    if size > 1 << 21:  # one very long text: not kept
         return make(n)
     return process_cache(f"powers_{base}_{size}", lambda: make(size))
 
