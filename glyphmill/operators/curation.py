@@ -206,30 +206,33 @@ def symmetric_eviction(words: DataFrame) -> DataFrame:
     )
 
 
+#: Sets that the text of a kept word must not be in.
+AUDITED = ("kept_vs_existing_val", "kept_vs_existing_test", "kept_vs_existing_bench", "kept_vs_qa_candidate")
+
+
+def forbidden_texts(words: DataFrame, val: DataFrame, test: DataFrame, bench: DataFrame) -> DataFrame:
+    """``text_nfc, _sets``: which of the audited sets each text is in."""
+    candidates = words.filter(F.col("status") == "exported_qa_candidate")
+    union = None
+    for name, frame in zip(AUDITED, (val, test, bench, candidates), strict=True):
+        part = frame.select("text_nfc", F.lit(name).alias("_set"))
+        union = part if union is None else union.unionByName(part)
+    return union.groupBy("text_nfc").agg(F.collect_set("_set").alias("_sets"))
+
+
 def audit_disjointness(words: DataFrame, val: DataFrame, test: DataFrame, bench: DataFrame) -> DataFrame:
     """Four counts of kept rows whose text is in a set it must not be in.
 
     Kept rows are counted per text first, so frequent texts enter the join once.
     """
-    sets = {
-        "kept_vs_existing_val": val,
-        "kept_vs_existing_test": test,
-        "kept_vs_existing_bench": bench,
-        "kept_vs_qa_candidate": words.filter(F.col("status") == "exported_qa_candidate"),
-    }
-    union = None
-    for name, frame in sets.items():
-        part = frame.select("text_nfc", F.lit(name).alias("_set"))
-        union = part if union is None else union.unionByName(part)
-    members = union.groupBy("text_nfc").agg(F.collect_set("_set").alias("_sets"))
     kept = words.filter(F.col("status") == "kept").groupBy("text_nfc").agg(F.count(F.lit(1)).alias("_n"))
-    hits = kept.join(members, "text_nfc")
+    hits = kept.join(forbidden_texts(words, val, test, bench), "text_nfc")
     return hits.agg(
         *[
             F.coalesce(
                 F.sum(F.when(F.array_contains("_sets", name), F.col("_n"))), F.lit(0).cast("long")
             ).alias(name)
-            for name in sets
+            for name in AUDITED
         ]
     )
 

@@ -1,5 +1,6 @@
 """From word boxes to label files: the cascade, the review candidates, an audit
-that stops the job, and only then the files."""
+that stops the job, and only then the files. Either plain folders, audited before they
+are written, or one published version of all sets, audited while it is written."""
 
 from __future__ import annotations
 
@@ -11,12 +12,22 @@ from pyspark.sql import functions as F
 from glyphmill.operators import curation as C
 from glyphmill.operators.quality import require_zero
 from glyphmill.operators.splits import text_disjoint_split
-from glyphmill.session import materialize
+from glyphmill.session import join_lookup, materialize
+from glyphmill.sources.publish import publish
 from glyphmill.sources.sinks import write_pipe_labels
 
 SETS = ("train", "val", "qa")
 
 
+def _placed(judged: DataFrame, val_ratio: float, seed: int, *more: str) -> DataFrame:
+    """Kept words split into train and val, and the review candidates, as one frame."""
+    split = text_disjoint_split(judged.filter("status = 'kept'"), val_ratio, seed, "text_nfc")
+    candidates = judged.filter("status = 'exported_qa_candidate'").withColumn("split", F.lit("qa"))
+    image = F.concat(F.lit("crops/"), F.col("id").cast("string"), F.lit(".png"))
+    columns = ["id", "split", image.alias("image_path"), F.col("text_nfc").alias("text"), *more]
+    return split.select(*columns).unionByName(candidates.select(*columns))
+
+
 def write_label_sets(
     judged: DataFrame,
     val: DataFrame,
@@ -30,15 +41,34 @@ def write_label_sets(
     ``image_path|text`` under ``path/train``, ``path/val`` (no text in both) and
     ``path/qa``. A single leak raises ``PolicyViolation`` before any file is written."""
     require_zero(C.audit_disjointness(judged, val, test, bench))
-    split = text_disjoint_split(judged.filter("status = 'kept'"), val_ratio, seed, "text_nfc")
-    candidates = judged.filter("status = 'exported_qa_candidate'").withColumn("split", F.lit("qa"))
-    image = F.concat(F.lit("crops/"), F.col("id").cast("string"), F.lit(".png"))
-    columns = ["id", "split", image.alias("image_path"), F.col("text_nfc").alias("text")]
-    placed = materialize(split.select(*columns).unionByName(candidates.select(*columns)), "label-sets")
+    placed = materialize(_placed(judged, val_ratio, seed), "label-sets")
     for name in SETS:
         write_pipe_labels(placed.filter(F.col("split") == name), f"{path}/{name}", order=["id"])
 
 
+def publish_label_sets(
+    judged: DataFrame,
+    val: DataFrame,
+    test: DataFrame,
+    bench: DataFrame,
+    path: str,
+    val_ratio: float = 0.15,
+    seed: int = 42,
+) -> int:
+    """Publish train, val and qa as one version under ``path`` and return its number.
+
+    The audit of :func:`curation.audit_disjointness` is counted on the rows while they
+    are written: texts that a kept word must not have come to it as a small lookup. A
+    leak raises ``PolicyViolation`` and the version before stays the current one.
+    """
+    forbidden = C.forbidden_texts(judged, val, test, bench).withColumnRenamed("text_nfc", "text")
+    rows = join_lookup(_placed(judged, val_ratio, seed), forbidden, ["text"], "left")
+    kept = F.col("split") != "qa"
+    leaks = {name: F.count_if(kept & F.coalesce(F.array_contains("_sets", name), F.lit(False))) for name in C.AUDITED}
+    sizes = {f"rows_{name}": F.count_if(F.col("split") == name) for name in SETS}
+    return publish(rows, path, counts=leaks | sizes, must_be_zero=C.AUDITED)
+
+
 def auto_label(
     words: DataFrame,
     vocab: Iterable[str],
@@ -52,8 +82,10 @@ def auto_label(
     per_source: int = 500,
     val_ratio: float = 0.15,
     seed: int = 42,
+    versioned: bool = False,
 ) -> DataFrame:
-    """Run the whole policy over ``words`` and write its label files.
+    """Run the whole policy over ``words`` and write its label files: plain folders, or
+    with ``versioned`` the next published version.
 
     Returns every word with its final status. That assignment is stored first, so
     the audit and all files see one and the same.
@@ -62,5 +94,6 @@ def auto_label(
     passed = materialize(C.filter_cascade(words, vocab, frozen, min_conf, dims, dup_keys), "cascade")
     chosen = C.select_qa_candidates(passed, frozen, per_source, seed)
     judged = materialize(C.symmetric_eviction(chosen), "judged")
-    write_label_sets(judged, val, test, bench, path, val_ratio, seed)
+    write = publish_label_sets if versioned else write_label_sets
+    write(judged, val, test, bench, path, val_ratio, seed)
     return judged

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.operators import curation as C
 from glyphmill.operators import matching, pages, splits, suites
-from glyphmill.operators.labeling import SETS, auto_label
+from glyphmill.operators.labeling import auto_label
 from glyphmill.plans.catalog import query
 from glyphmill.plans.inputs import (
     BENCH,
@@ -26,7 +26,7 @@ from glyphmill.plans.inputs import (
     words,
 )
 from glyphmill.session import scratch_path
-from glyphmill.sources.labels import read_pipe_labels
+from glyphmill.sources.publish import read_published
 
 STATUS = ("source", "status", "filter_reason")
 DUPS = ("page_id", "text_nfc", "x")
@@ -275,12 +275,12 @@ def _(spark, sf):
     val, test, rest = (bench.filter(F.col("item_id") % 3 == i) for i in range(3))
     path = scratch_path(spark, "auto-label")
     auto_label(
-        words(spark, sf), VOCAB, val, test, rest, path, MIN_CONF, page_dims(spark, sf), DUPS, per_source=25
-    )
-    read = [read_pipe_labels(spark, f"{path}/{s}").select(F.lit(s).alias("label_set"), "image_path", "text") for s in SETS]
+        words(spark, sf), VOCAB, val, test, rest, path, MIN_CONF, page_dims(spark, sf), DUPS, per_source=25,
+        versioned=True,
+    )
     return (
-        read[0].unionByName(read[1]).unionByName(read[2])
-        .groupBy("label_set", "text")
+        read_published(spark, path)
+        .groupBy(F.col("split").alias("label_set"), "text")
         .agg(F.count(F.lit(1)).alias("n"), F.min("image_path").alias("first_image"), F.max("image_path").alias("last_image"))
     )
 
