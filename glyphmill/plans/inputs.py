@@ -137,12 +137,17 @@ def levenshtein_sql(a: str, b: str) -> str:
 
 def near_sql(left: str, right: str) -> str:
     """All pairs of different words one edit apart: one is the other without a
-    character, or both are equal once the same position is masked."""
-    drop = "substr(word, 1, i - 1) || substr(word, i + 1)"
-    mask = "substr(word, 1, i - 1) || chr(1) || substr(word, i + 1)"
-    steps = lambda t: f"(SELECT word, unnest(range(1, length(word) + 1)) AS i FROM {t})"
-    return f"""near AS MATERIALIZED (
-      SELECT DISTINCT l.word, r.word AS candidate FROM (SELECT word, {drop} AS s FROM {steps(left)}) l JOIN {right} r ON r.word = l.s
-      UNION SELECT DISTINCT l.word, r.word FROM {left} l JOIN (SELECT word, {drop} AS s FROM {steps(right)}) r ON l.word = r.s
-      UNION SELECT DISTINCT l.word, r.word FROM (SELECT word, {mask} AS s FROM {steps(left)}) l
-        JOIN (SELECT word, {mask} AS s FROM {steps(right)}) r ON l.s = r.s)"""
+    character, or both are equal without the character at one position. Each side's
+    words without a character are hashed once; texts are compared last."""
+    cut = lambda w, i: f"substr({w}, 1, {i} - 1) || substr({w}, {i} + 1)"
+    holes = lambda t: (
+        f"SELECT word, i, hash({cut('word', 'i')}) AS h FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM {t})"
+    )
+    return f"""left_holes AS MATERIALIZED ({holes(left)}), right_holes AS MATERIALIZED ({holes(right)}),
+    near AS MATERIALIZED (
+      SELECT DISTINCT l.word, r.word AS candidate FROM left_holes l JOIN (SELECT word, hash(word) AS h FROM {right}) r
+        ON l.h = r.h AND length(l.word) = length(r.word) + 1 AND {cut('l.word', 'l.i')} = r.word
+      UNION SELECT DISTINCT l.word, r.word FROM (SELECT word, hash(word) AS h FROM {left}) l JOIN right_holes r
+        ON l.h = r.h AND length(r.word) = length(l.word) + 1 AND {cut('r.word', 'r.i')} = l.word
+      UNION SELECT DISTINCT l.word, r.word FROM left_holes l JOIN right_holes r
+        ON l.h = r.h AND l.i = r.i AND length(l.word) = length(r.word) AND {cut('l.word', 'l.i')} = {cut('r.word', 'r.i')})"""

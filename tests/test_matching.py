@@ -105,3 +105,26 @@ def test_prune_policies(spark):
     kept = {r["target"] for r in profiling.prune_ngrams(counts).collect()}
     strict = {r["target"] for r in profiling.prune_ngrams(counts, keep_rare_contexts=False).collect()}
     assert kept == {"c", "e"} and strict == {"c"}
+
+
+def test_long_texts_that_differ_in_one_number_meet_on_the_number(spark):
+    """Candidates stay a small multiple of the true pairs on templated lines."""
+    line = "total of the day at the counter in the hall: {:05d} pieces, signed by the keeper of the book"
+    lines = [line.format(i) for i in range(20_000)]
+    frame = spark.range(20_000, numPartitions=8).select(F.format_string(line.replace("{:05d}", "%05d"), F.col("id")).alias("text"))
+    some = spark.createDataFrame([(lines[i],) for i in range(0, 20_000, 400)], "text string")
+    texts = lambda df, name: df.select(F.col("text").alias(name), F.monotonically_increasing_id().alias("id"))
+    candidates = matching._pairs_of_long_texts(texts(frame, "left_text"), texts(some, "right_text")).count()
+    # Itself and all numbers that differ in one digit: 9 for each of four digits, one
+    # for the first, which is 0 or 1.
+    assert matching.near_pairs(frame, some, 1).count() == 50 * 38
+    assert 50 * 38 <= candidates <= 50 * 38 * 1.1
+
+
+def test_pieces_of_longer_texts_match_brute_force(spark, monkeypatch):
+    """Insertions and deletions at and beside the borders of pieces."""
+    monkeypatch.setitem(matching.SHORT, 1, 3)
+    monkeypatch.setattr(matching, "PIECES", 3)
+    right = ["abcdefghi", "aaaaaaaa", "abababab", "भारतदेशहै", "abcdefgh"]
+    left = [r[:i] + c + r[j:] for r in right for i in range(len(r) + 1) for j in (i, i + 1) for c in ("", "x", "a")]
+    assert found(spark, left, right, 1) == brute(left, right, 1)
