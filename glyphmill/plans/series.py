@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from glyphmill.operators import local_threshold as L
 from glyphmill.operators import series as S
 from glyphmill.plans.catalog import query
 from glyphmill.plans.inputs import VOCAB, table, tokens
@@ -71,6 +72,39 @@ def _(spark, sf):
     return routed.withColumn("ink_share", F.round("ink_share", 9))
 
 
+# All pixels of a window by a join; the picture's border cuts it.
+LOCAL = """mean_of AS (SELECT series_id, sum(v) / count(*) AS picture FROM px GROUP BY series_id),
+ cell AS (SELECT series_id, y, x, sum(v) AS s, count(*) AS n FROM px GROUP BY ALL),
+ spot AS (SELECT a.series_id, a.y, a.x, sum(b.s) AS s, sum(b.n) AS n FROM cell a JOIN size USING (series_id)
+   JOIN cell b ON b.series_id = a.series_id AND abs(a.y - b.y) <= reach AND abs(a.x - b.x) <= reach GROUP BY ALL),
+ lim AS (SELECT series_id, y, x, s, n, s / n - 10.0::DOUBLE + greatest(0.0::DOUBLE, (picture - s / n) * 0.5::DOUBLE) AS lim FROM spot JOIN mean_of USING (series_id))"""
+
+
+@query(
+    "local_threshold",
+    "G1",
+    f"""WITH {PIXELS}, size AS (SELECT DISTINCT series_id, 7 AS reach FROM px), {LOCAL}
+    SELECT series_id, y, x, v, CAST(s AS BIGINT) AS window_sum, CAST(n AS BIGINT) AS window_count, CASE WHEN v > lim THEN 255 ELSE 0 END AS ink
+    FROM px JOIN lim USING (series_id, y, x)""",
+)
+def _(spark, sf):
+    # Tiles smaller than the pictures, so that windows cross them.
+    return L.local_mean_threshold(pixels(spark, sf), 15, tile=16)
+
+
+@query(
+    "binarize",
+    "G2",
+    f"""WITH {OTSU}, size AS (SELECT series_id, greatest(15, least(51, ((least(max(y), max(x)) + 1) // 6) | 1)) // 2 AS reach FROM px GROUP BY series_id),
+    {LOCAL}, routed AS (SELECT px.*, threshold, ink_share BETWEEN 0.01 AND 0.5 AS one FROM px JOIN otsu USING (series_id))
+    SELECT series_id, y, x, v, CASE WHEN one THEN 'otsu' ELSE 'local' END AS route,
+      CASE WHEN one THEN CASE WHEN v > threshold THEN 255 ELSE 0 END WHEN v > lim THEN 255 ELSE 0 END AS ink
+    FROM routed JOIN lim USING (series_id, y, x)""",
+)
+def _(spark, sf):
+    return L.binarize(pixels(spark, sf), high=0.5, tile=32)
+
+
 @query(
     "projection_profile",
     "G3",
