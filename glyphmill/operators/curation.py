@@ -8,12 +8,14 @@ first failing pass names the reason and later passes see survivors only.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.functions.text import has_oov
 from glyphmill.operators.ranking import first_n_per_group, shuffle_key
+from glyphmill.session import join_lookup, materialize
 
 DUP_KEYS = ("page_id", "text_nfc", "x", "y")
 
@@ -90,17 +92,29 @@ def filter_bbox(words: DataFrame, dims: DataFrame) -> DataFrame:
     return _mark(sized, bad, "filtered_invalid_bbox", reason).drop("_w", "_h", "_failed")
 
 
-def _first_copies(words: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Lowest id of every group of copies among the survivors. Partial
-    aggregation folds a large group of copies before anything is shuffled."""
-    return words.filter(F.col("status") == "labeled").groupBy(*keys).agg(F.min("id").alias("id"))
+def _mark_copies(words: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Mark survivors that are not the lowest id of their group of copies.
+
+    Only keys that really have copies are looked up; they are stored first, so a small
+    lookup is broadcast and no word is moved, and a large one meets the words by key,
+    where adaptive execution splits hot groups. Null keys are equal to each other.
+    """
+    copies = (
+        words.filter(F.col("status") == "labeled")
+        .groupBy(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)])
+        .agg(F.min("id").alias("_lowest"), F.count(F.lit(1)).alias("_n"))
+        .filter("_n > 1")
+        .drop("_n")
+    )
+    same = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
+    met = words.join(materialize(copies, "copies"), reduce(Column.__and__, same), "left")
+    copy = F.coalesce(F.col("id") != F.col("_lowest"), F.lit(False))
+    return _mark(met, copy, "filtered_dup", "dup").drop("_lowest", *[f"_key{i}" for i in range(len(keys))])
 
 
 def filter_dup(words: DataFrame, keys: Sequence[str] = DUP_KEYS) -> DataFrame:
-    """Keep the lowest id of every group of copies. The join back runs on the
-    unique id, so no group of copies meets in one task."""
-    firsts = _first_copies(words, keys).select("id", F.lit(True).alias("_first"))
-    return _mark(words.join(firsts, "id", "left"), F.col("_first").isNull(), "filtered_dup", "dup").drop("_first")
+    """Keep the lowest id of every group of copies."""
+    return _mark_copies(words, keys)
 
 
 def eval_texts(*frames: DataFrame) -> DataFrame:
@@ -141,24 +155,16 @@ def filter_cascade(
 ) -> DataFrame:
     """Confidence, vocabulary, box, duplicate and leak passes in this order.
 
-    The row-local passes are one projection. Duplicate and leak verdicts are
-    found on the narrow set of first copies and come back in a single join on
-    the unique id.
+    The row-local passes are one projection. The two others look up what is small: keys
+    that have copies, and the frozen texts.
     """
     judged = filter_oov(filter_confidence(start(words), min_conf), vocab)
     if dims is not None:
         judged = filter_bbox(judged, dims)
     known = frozen.select("text_nfc").distinct().withColumn("_leak", F.lit(True))
-    firsts = (
-        _first_copies(judged, dup_keys)
-        .select("id", "text_nfc")
-        .join(known, "text_nfc", "left")
-        .select("id", F.lit(True).alias("_first"), F.coalesce("_leak", F.lit(False)).alias("_leak"))
-    )
-    flagged = judged.join(firsts, "id", "left")
-    flagged = _mark(flagged, F.col("_first").isNull(), "filtered_dup", "dup")
-    flagged = _mark(flagged, F.col("_leak"), "filtered_text_leak", "leak_vs_existing_val_test_bench")
-    return promote(flagged.drop("_first", "_leak"))
+    flagged = join_lookup(_mark_copies(judged, dup_keys), known, ["text_nfc"], "left")
+    leak = F.coalesce("_leak", F.lit(False))
+    return promote(_mark(flagged, leak, "filtered_text_leak", "leak_vs_existing_val_test_bench").drop("_leak"))
 
 
 def qa_candidates(words: DataFrame, frozen: DataFrame, per_source: int = 500, seed: int = 42) -> DataFrame:
@@ -182,7 +188,7 @@ def select_qa_candidates(
     """Move the chosen candidates from ``kept`` to ``exported_qa_candidate``."""
     chosen = qa_candidates(words, frozen, per_source, seed).select("id", F.lit(True).alias("_qa"))
     status = F.when(F.col("_qa"), F.lit("exported_qa_candidate")).otherwise(F.col("status"))
-    return words.join(chosen, "id", "left").withColumn("status", status).drop("_qa")
+    return join_lookup(words, chosen, ["id"], "left").withColumn("status", status).drop("_qa")
 
 
 def symmetric_eviction(words: DataFrame) -> DataFrame:
@@ -195,7 +201,7 @@ def symmetric_eviction(words: DataFrame) -> DataFrame:
     )
     hit = (F.col("status") == "kept") & F.coalesce("_qa", F.lit(False))
     return (
-        words.join(texts, "text_nfc", "left")
+        join_lookup(words, texts, ["text_nfc"], "left")
         .withColumns(
             {
                 "filter_reason": F.when(hit, "leak_vs_qa_candidate").otherwise(F.col("filter_reason")),
