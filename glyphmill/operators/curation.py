@@ -25,7 +25,7 @@ def start(words: DataFrame) -> DataFrame:
     return words.withColumns({"status": F.lit("labeled"), "filter_reason": F.lit(None).cast("string")})
 
 
-def _mark(words: DataFrame, failed: Column, status: str, reason: Column | str) -> DataFrame:
+def mark_failed(words: DataFrame, failed: Column, status: str, reason: Column | str) -> DataFrame:
     hit = (F.col("status") == "labeled") & failed
     reason = F.lit(reason) if isinstance(reason, str) else reason
     return words.withColumns(
@@ -37,11 +37,11 @@ def _mark(words: DataFrame, failed: Column, status: str, reason: Column | str) -
 
 
 def filter_confidence(words: DataFrame, min_conf: float = 0.85) -> DataFrame:
-    return _mark(words, F.col("conf") < min_conf, "filtered_low_conf", f"conf<{min_conf}")
+    return mark_failed(words, F.col("conf") < min_conf, "filtered_low_conf", f"conf<{min_conf}")
 
 
 def filter_oov(words: DataFrame, vocab: Iterable[str]) -> DataFrame:
-    return _mark(words, has_oov("text_nfc", vocab), "filtered_oov", "oov_char")
+    return mark_failed(words, has_oov("text_nfc", vocab), "filtered_oov", "oov_char")
 
 
 def clamp_bbox(width: Column, height: Column) -> Column:
@@ -89,7 +89,7 @@ def filter_bbox(words: DataFrame, dims: DataFrame) -> DataFrame:
         | (height == 0)
     )
     reason = F.when(failed, "page_open_failed").otherwise("bbox_oob")
-    return _mark(sized, bad, "filtered_invalid_bbox", reason).drop("_w", "_h", "_failed")
+    return mark_failed(sized, bad, "filtered_invalid_bbox", reason).drop("_w", "_h", "_failed")
 
 
 def _mark_copies(words: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -109,7 +109,7 @@ def _mark_copies(words: DataFrame, keys: Sequence[str]) -> DataFrame:
     same = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
     met = words.join(materialize(copies, "copies"), reduce(Column.__and__, same), "left")
     copy = F.coalesce(F.col("id") != F.col("_lowest"), F.lit(False))
-    return _mark(met, copy, "filtered_dup", "dup").drop("_lowest", *[f"_key{i}" for i in range(len(keys))])
+    return mark_failed(met, copy, "filtered_dup", "dup").drop("_lowest", *[f"_key{i}" for i in range(len(keys))])
 
 
 def filter_dup(words: DataFrame, keys: Sequence[str] = DUP_KEYS) -> DataFrame:
@@ -129,7 +129,7 @@ def filter_text_leak(words: DataFrame, frozen: DataFrame) -> DataFrame:
     """Mark survivors whose text is in the frozen evaluation texts."""
     known = frozen.select("text_nfc").distinct().withColumn("_leak", F.lit(True))
     joined = words.join(known, "text_nfc", "left")
-    return _mark(
+    return mark_failed(
         joined, F.col("_leak").isNotNull(), "filtered_text_leak", "leak_vs_existing_val_test_bench"
     ).drop("_leak")
 
@@ -164,7 +164,7 @@ def filter_cascade(
     known = frozen.select("text_nfc").distinct().withColumn("_leak", F.lit(True))
     flagged = join_lookup(_mark_copies(judged, dup_keys), known, ["text_nfc"], "left")
     leak = F.coalesce("_leak", F.lit(False))
-    return promote(_mark(flagged, leak, "filtered_text_leak", "leak_vs_existing_val_test_bench").drop("_leak"))
+    return promote(mark_failed(flagged, leak, "filtered_text_leak", "leak_vs_existing_val_test_bench").drop("_leak"))
 
 
 def qa_candidates(words: DataFrame, frozen: DataFrame, per_source: int = 500, seed: int = 42) -> DataFrame:
