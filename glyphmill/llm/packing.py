@@ -40,7 +40,7 @@ def _encoder(json_path: str, ranks_path: str):
     single words fast."""
     ranks = V.byte_ranks(ranks_path)
     raw = lambda text: np.array(ranks.encode_ordinary(text), "<u4").tobytes()
-    first = A.process_cache(f"first:{ranks_path}", lambda: V.Remembered(raw, V.KEPT_WORDS // 10))
+    first = A.process_cache(f"first:{ranks_path}", lambda: V.Remembered(raw, V.KEPT_BYTES // 8))
     later = A.process_cache(f"later:{ranks_path}", lambda: V.Remembered(lambda w: raw(" " + w)))
 
     def encode(text: str) -> bytes:
@@ -68,6 +68,7 @@ def tokenise(
     ranks_path = ranks_path or V.default_path("byte_bpe_50k.tiktoken")
 
     def cut(batches):
+        A.leave_only("ranks:", "json:", "first:", "later:")
         encode = _encoder(json_path, ranks_path)
         for whole in batches:
             for batch in A.slices([whole], "text"):

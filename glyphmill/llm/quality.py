@@ -13,11 +13,12 @@ size. Only numbers leave the workers.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm import arrays as A
@@ -162,74 +163,87 @@ def _repeated_lines(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return A.row_sums(repeated, lines.first)
 
 
-def _fields(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """The columns that are read, from a batch of whole rows or of themselves."""
-    if "row" not in batch.schema.names:
-        return batch
-    row = batch.column("row")
-    read = {"doc_id": pa.int64(), "text": pa.string(), "lang": pa.string()}
-    return pa.RecordBatch.from_pydict({"row": row} | {n: row.field(n).cast(kind) for n, kind in read.items()})
+def _measures_of(rules: Rules):
+    """The measures of a batch of texts with their languages, as columns by name."""
+    A.leave_only("scripts", "fertility:", "pieces:", "ranks:", "powers_")
+    bands = set(rules.bands)
+    encode, single = V.sentence_pieces(rules.pieces_path)
+    ranks = V.byte_ranks(rules.ranks_path)
+
+    def both(word: bytes) -> bytes:
+        text = word.decode()
+        whole, rest = divmod(len(ranks.encode_ordinary(" " + text)), COUNT - 1)
+        return np.array([*[2 * COUNT - 1] * whole, COUNT | rest, *encode(text)], np.uint16).tobytes()
+
+    known = A.process_cache(f"fertility:{rules.pieces_path}:{rules.ranks_path}", lambda: V.Remembered(both))
+    byte_id = np.zeros(1 << 16, bool)
+    byte_id[list(single)] = True
+
+    def measure(column: pa.Array, langs: list) -> dict[str, pa.Array]:
+        data, offsets = A.blob(column)
+        words = A.runs(data, offsets, A.NOT_SPACE)
+        hashed = words.hashes()
+        n_words = words.per_row
+        lead = (data & 0xC0) != 0x80
+        chars = A.row_sums(lead & A.NOT_SPACE[data], offsets)
+        n_tokens, entropy, singles, by_rank = [], [], [], []
+        texts = column.cast(pa.binary()).to_pylist()
+        for text in texts:
+            both_ids = np.frombuffer(b"".join(map(known.__getitem__, (text or b"").split())), np.uint16)
+            head = both_ids >= COUNT
+            ids = both_ids[~head]
+            share = np.bincount(ids) if len(ids) else np.zeros(0, int)
+            share = share[share > 0] / max(1, len(ids))
+            n_tokens.append(len(ids))
+            entropy.append(float(-(share * np.log2(share)).sum()) + 0.0)
+            singles.append(int(byte_id[ids].sum()))
+            by_rank.append(int((both_ids[head] & (COUNT - 1)).sum(dtype=np.int64)))
+        tokens = np.array(n_tokens, np.int64)
+        at_least = np.maximum(tokens, 1)
+        band = []
+        for lang, text in zip(langs, texts, strict=True):
+            name = lang if lang in bands else _script(text)
+            band.append(name if name in bands else "other")
+        return {
+            "n_words": pa.array(n_words, pa.int64()),
+            "word_chars": pa.array(chars, pa.int64()),
+            "n_symbols": pa.array(A.row_sums(SYMBOL[data], offsets), pa.int64()),
+            "n_dup_lines": pa.array(_repeated_lines(data, offsets), pa.int64()),
+            "n_repeat_words": pa.array(_repeats(words, hashed, 5), pa.int64()),
+            "n_tokens": pa.array(tokens, pa.int64()),
+            "chars_per_token": pa.array(chars / at_least),
+            "byte_share": pa.array(np.array(singles) / at_least),
+            "token_entropy": pa.array(entropy, pa.float64()),
+            "rank_chars_per_token": pa.array(chars / np.maximum(np.array(by_rank, np.int64), 1)),
+            "band": pa.array(band, pa.string()),
+        }
+
+    return measure
 
 
 def _measure(rules: Rules):
-    bands = set(rules.bands)
+    def rows(batches):
+        measure = _measures_of(rules)
+        for piece in A.slices(batches, "text"):
+            found = measure(piece.column("text"), piece.column("lang").to_pylist())
+            yield pa.RecordBatch.from_pydict({"doc_id": piece.column("doc_id").cast(pa.int64())} | found)
 
-    def measure(batches):
-        encode, single = V.sentence_pieces(rules.pieces_path)
-        ranks = V.byte_ranks(rules.ranks_path)
-
-        def both(word: bytes) -> bytes:
-            text = word.decode()
-            whole, rest = divmod(len(ranks.encode_ordinary(" " + text)), COUNT - 1)
-            return np.array([*[2 * COUNT - 1] * whole, COUNT | rest, *encode(text)], np.uint16).tobytes()
-
-        known = A.process_cache(f"fertility:{rules.pieces_path}:{rules.ranks_path}", lambda: V.Remembered(both))
-        byte_id = np.zeros(1 << 16, bool)
-        byte_id[list(single)] = True
-        for piece in A.slices(map(_fields, batches), "text"):
-            data, offsets = A.blob(piece.column("text"))
-            words = A.runs(data, offsets, A.NOT_SPACE)
-            hashed = words.hashes()
-            n_words = words.per_row
-            lead = (data & 0xC0) != 0x80
-            chars = A.row_sums(lead & A.NOT_SPACE[data], offsets)
-            n_tokens, entropy, singles, by_rank = [], [], [], []
-            texts = piece.column("text").cast(pa.binary()).to_pylist()
-            for text in texts:
-                both_ids = np.frombuffer(b"".join(map(known.__getitem__, (text or b"").split())), np.uint16)
-                head = both_ids >= COUNT
-                ids = both_ids[~head]
-                share = np.bincount(ids) if len(ids) else np.zeros(0, int)
-                share = share[share > 0] / max(1, len(ids))
-                n_tokens.append(len(ids))
-                entropy.append(float(-(share * np.log2(share)).sum()) + 0.0)
-                singles.append(int(byte_id[ids].sum()))
-                by_rank.append(int((both_ids[head] & (COUNT - 1)).sum(dtype=np.int64)))
-            tokens = np.array(n_tokens, np.int64)
-            at_least = np.maximum(tokens, 1)
-            band = []
-            for lang, text in zip(piece.column("lang").to_pylist(), texts, strict=True):
-                name = lang if lang in bands else _script(text)
-                band.append(name if name in bands else "other")
-            yield pa.RecordBatch.from_pydict(
-                ({"row": piece.column("row")} if "row" in piece.schema.names else {})
-                | {
-                    "doc_id": piece.column("doc_id").cast(pa.int64()),
-                    "n_words": pa.array(n_words, pa.int64()),
-                    "word_chars": pa.array(chars, pa.int64()),
-                    "n_symbols": pa.array(A.row_sums(SYMBOL[data], offsets), pa.int64()),
-                    "n_dup_lines": pa.array(_repeated_lines(data, offsets), pa.int64()),
-                    "n_repeat_words": pa.array(_repeats(words, hashed, 5), pa.int64()),
-                    "n_tokens": pa.array(tokens, pa.int64()),
-                    "chars_per_token": pa.array(chars / at_least),
-                    "byte_share": pa.array(np.array(singles) / at_least),
-                    "token_entropy": pa.array(entropy, pa.float64()),
-                    "rank_chars_per_token": pa.array(chars / np.maximum(np.array(by_rank, np.int64), 1)),
-                    "band": pa.array(band, pa.string()),
-                }
-            )
+    return rows
 
-    return measure
+
+def _measure_column(rules: Rules):
+    """The measures as a struct column of a frame whose other columns stay where
+    they are: only text and language go to Python."""
+
+    def column(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        measure = _measures_of(rules)
+        for text, lang in batches:
+            batch = pa.RecordBatch.from_arrays([text.cast(pa.string()), lang.cast(pa.string())], ["text", "lang"])
+            found = [measure(p.column("text"), p.column("lang").to_pylist()) for p in A.slices([batch], "text")]
+            parts = [pa.StructArray.from_arrays(list(f.values()), list(f)) for f in found]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct([]))
+
+    return F.arrow_udf(column, MEASURES.split(", ", 1)[1]).asNondeterministic()
 
 
 def judge(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
@@ -254,37 +268,44 @@ def judge(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
         F.col("text").cast("string").alias("text"),
         F.col("lang").cast("string").alias("lang"),
     )
-    return _verdicts(rows.mapInArrow(_measure(rules), MEASURES), rules)
+    return (
+        rows.mapInArrow(_measure(rules), MEASURES)
+        .withColumn("base_failed", _base_failed(F.col))
+        .withColumn("reason", _reason(rules, F.col))
+        .withColumn("kept", F.col("reason").isNull())
+    )
 
 
 def keep_good(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
     """The documents that :func:`judge` keeps, with all their columns."""
     rules = rules or default_rules()
-    rows = docs.select(F.struct("*").alias("row"))
-    measured = rows.mapInArrow(_measure(rules), f"row {rows.schema['row'].dataType.simpleString()}, {MEASURES}")
-    return _verdicts(measured, rules).filter("kept").select("row.*")
+    mark = "_measures"
+    while mark in docs.columns:
+        mark += "_"
+    column = _measure_column(rules)(F.col("text").cast("string"), F.col("lang").cast("string"))
+    measured = docs.withColumn(mark, column)
+    return measured.filter(_reason(rules, lambda name: F.col(mark)[name]).isNull()).drop(mark)
+
 
+def _base_failed(m: Callable[[str], Column]) -> Column:
+    return (m("n_words") < 10) | (100 * m("n_repeat_words") > 20 * m("n_words"))
+
+
+def _reason(rules: Rules, m: Callable[[str], Column]) -> Column:
+    """The first limit that a text breaks; ``m`` gives a measure by name."""
 
-def _verdicts(measured: DataFrame, rules: Rules) -> DataFrame:
     def limit(name: str):
-        return F.coalesce(*[F.when(F.col("band") == b, F.lit(getattr(v, name))) for b, v in rules.bands.items()])
+        return F.coalesce(*[F.when(m("band") == b, F.lit(getattr(v, name))) for b, v in rules.bands.items()])
 
-    n = F.greatest(F.col("n_tokens"), F.lit(1)).cast("double")
+    n = F.greatest(m("n_tokens"), F.lit(1)).cast("double")
     short = F.greatest(1 / n - 1 / rules.full_tokens, F.lit(0.0))
     less, more = 1 - rules.wider_fertility * short, 1 + rules.wider_fertility * short
-    most = F.log2(F.greatest(n, F.lit(2.0)))
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    reason = (
-        F.when(F.col("base_failed"), F.lit("base"))
-        .when(F.col("chars_per_token") < limit("min_chars_per_token") * less, F.lit("fertility"))
-        .when(F.col("chars_per_token") > limit("max_chars_per_token") * more, F.lit("long_tokens"))
-        .when(F.col("rank_chars_per_token") < limit("min_rank_chars_per_token") * less, F.lit("rank_fertility"))
-        .when(F.col("byte_share") > limit("max_byte_share") + rules.wider_bytes * short, F.lit("byte_fallback"))
-        .when(F.col("entropy_share") < limit("min_entropy_share"), F.lit("entropy"))
-    )
+    entropy_share = m("token_entropy") / F.log2(F.greatest(n, F.lit(2.0)))
     return (
-        measured.withColumn("entropy_share", F.col("token_entropy") / most)
-        .withColumn("base_failed", failed)
-        .withColumn("reason", reason)
-        .withColumn("kept", F.col("reason").isNull())
+        F.when(_base_failed(m), F.lit("base"))
+        .when(m("chars_per_token") < limit("min_chars_per_token") * less, F.lit("fertility"))
+        .when(m("chars_per_token") > limit("max_chars_per_token") * more, F.lit("long_tokens"))
+        .when(m("rank_chars_per_token") < limit("min_rank_chars_per_token") * less, F.lit("rank_fertility"))
+        .when(m("byte_share") > limit("max_byte_share") + rules.wider_bytes * short, F.lit("byte_fallback"))
+        .when(entropy_share < limit("min_entropy_share"), F.lit("entropy"))
     )

@@ -270,6 +270,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 4096) ->
     path = path or V.default_path("piece_bpe_32k.model")
 
     def count(batches):
+        A.leave_only("merges:", "powers_")
         table = merges(path)
         for piece in A.slices(batches, "text"):
             texts = pc.fill_null(piece.column("text"), "").cast(pa.large_string())

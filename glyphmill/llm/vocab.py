@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import base64
+import sys
 from collections.abc import Callable
 
 from glyphmill.llm.arrays import process_cache
 
-#: Different words a worker keeps the ids of; beyond it starts anew. Bounds memory.
-KEPT_WORDS = 700_000
+#: Bytes of words and their ids that a worker keeps; beyond it starts anew.
+KEPT_BYTES = 48 << 20
 
 
 def default_path(name: str) -> str:
@@ -57,14 +58,23 @@ def json_tokenizer(path: str):
 
 
 class Remembered(dict):
-    """A dict that makes what it lacks, and starts anew when full."""
+    """A dict that makes what it lacks, and starts anew once keys and values take
+    ``limit`` bytes. What takes a thousandth of that by itself is not kept."""
 
-    def __init__(self, make: Callable, limit: int = KEPT_WORDS):
+    #: What an entry takes besides its two objects.
+    ENTRY = 100
+
+    def __init__(self, make: Callable, limit: int = KEPT_BYTES):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.held = make, limit, 0
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[key] = self.make(key)
+        value = self.make(key)
+        size = sys.getsizeof(key) + sys.getsizeof(value) + self.ENTRY
+        if 1000 * size <= self.limit:
+            if self.held + size > self.limit:
+                self.clear()
+                self.held = 0
+            self.held += size
+            self[key] = value
         return value
