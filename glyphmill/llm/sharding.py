@@ -180,17 +180,29 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, dimensions: Sequence[st
 
     Defined cases: a null or empty text has size 8 and checksum 0; a null in a
     dimension is its lowest value; ties, repeated rows and a source with a third of
-    all rows are parted by hash; an empty table gives an empty result. Columns of
+    all rows are parted by hash, whatever files they lie in; an empty table gives an empty result. Columns of
     other names are not read.
     """
     have = [d for d in dimensions if d in docs.columns]
+    names = [f"d_{d}" for d in have]
     narrow = docs.select(
         F.col("doc_id").cast("long").alias("row_key"),
         size_of().alias("size"),
         F.crc32(F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")).alias("text_crc32"),
-        *[F.col(d).alias(f"d_{d}") for d in have],
-        F.monotonically_increasing_id().alias("tie"),
+        *[F.col(d).alias(n) for d, n in zip(have, names, strict=True)],
     )
-    stored = materialize(narrow, "metadata")
-    placed = kd_shards(stored, n_shards, [f"d_{d}" for d in have] or ["size"])
+    stored = materialize(_numbered_repeats(narrow), "metadata")
+    placed = kd_shards(stored, n_shards, names or ["size"])
     return with_slots(placed).select(F.col("row_key").alias("doc_id"), "size", "text_crc32", "shard", "slot")
+
+
+def _numbered_repeats(rows: DataFrame, chunk: int = 1 << 16) -> DataFrame:
+    """The rows with ``tie``, a hash of the row and of its number among equal rows, so
+    that where a row goes follows from the rows alone and not from the files they are
+    in. Equal rows are counted and written out again, a chunk of numbers at a time."""
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
+    chunks = counted.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(chunk).cast("long"))))
+    to = F.least(F.col("from") + chunk, F.col("n")) - 1
+    return chunks.withColumn("no", F.explode(F.sequence(F.col("from"), to))).select(
+        *rows.columns, F.xxhash64(*rows.columns, "no").alias("tie")
+    )
