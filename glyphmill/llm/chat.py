@@ -116,9 +116,11 @@ def read_back(segments: DataFrame, template: Template | None = None) -> DataFram
     """Digests read back from formatted segments, as :func:`format_turns` returns
     them (a conversation's rows together and in order).
 
-    Roles and texts are parsed from the marks and unescaped; nothing but ``text``
-    and ``loss`` is looked at. ``valid``: the machine accepted every turn and the
-    conversation may end where it does.
+    The segments of a conversation are one string, in which the loss flags mark
+    positions. Turns are found in it by the control strings alone, so a text with an
+    unescaped one would be cut there; roles and texts are unescaped, and the learned
+    text is what lies under the marks. ``valid``: the machine accepts the roles that
+    were read, the conversation may end where it does, and nothing is left over.
     """
     t = template or Template()
 
@@ -126,51 +128,59 @@ def read_back(segments: DataFrame, template: Template | None = None) -> DataFram
         now = None
         for batch in batches:
             done = []
-            columns = (batch.column(c).to_pylist() for c in ("conv_id", "turn_no", "segment", "text", "loss", "state"))
-            for conv, turn, segment, text, loss, state in zip(*columns, strict=True):
+            columns = (batch.column(c).to_pylist() for c in ("conv_id", "turn_no", "segment", "text", "loss"))
+            for conv, turn, segment, text, loss in zip(*columns, strict=True):
                 if now is None or conv != now.conv or (turn == 0 and segment == 0):
                     if now is not None:
-                        done.append(now.row(t))
-                    now = _Reader(conv)
-                now.take(t, text, loss, state)
+                        done.append(now.row())
+                    now = _Reader(conv, t)
+                now.take(text, loss)
             if done:
                 yield _digests(done)
         if now is not None:
-            yield _digests([now.row(t)])
+            yield _digests([now.row()])
 
     return segments.mapInArrow(read, DIGESTS)
 
 
 class _Reader:
-    """What has been read of one conversation: running digests, not its text."""
+    """What has been read of one conversation: running digests and the string of the
+    turn that is not closed yet."""
 
-    def __init__(self, conv):
-        self.conv, self.state = conv, START
+    def __init__(self, conv, template: Template):
+        self.conv, self.t, self.state = conv, template, START
         self.turns, self.learned = hashlib.sha256(), hashlib.sha256()
         self.n_turns = self.loss_chars = self.chars = 0
-        self.open_turn = False
+        #: The open turn, where in it to look for its end, and what is learned of it.
+        self.text, self.seen, self.marks, self.whole = "", 0, [], True
 
-    def take(self, t: Template, text: str, loss: bool, state: str) -> None:
-        self.chars += len(text)
-        self.state = state
+    def take(self, text: str, loss: bool) -> None:
         if loss:
-            plain = t.unquote(text)
-            self.loss_chars += len(plain)
-            self.learned.update(plain.encode())
-        if text == t.close and self.open_turn is None:
-            self.turns.update(b"\n")
-            self.open_turn = False
-        elif self.open_turn:
-            self.turns.update(t.unquote(text).encode())
-            self.open_turn = None
-        else:
-            role = text[len(t.open) : len(text) - len(t.sep)]
-            self.turns.update((t.unquote(role) + "\n").encode())
-            self.n_turns += 1
-            self.open_turn = True
-
-    def row(self, t: Template) -> tuple:
-        ok = self.state != FAILED and self.state in t.ends
+            self.marks.append((len(self.text), len(self.text) + len(text)))
+        self.chars += len(text)
+        self.text += text
+        while (end := self.text.find(self.t.close, self.seen)) >= 0:
+            self._turn(end)
+        self.seen = max(0, len(self.text) - len(self.t.close) + 1)
+
+    def _turn(self, end: int) -> None:
+        t = self.t
+        after = end + len(t.close)
+        body = self.text[len(t.open) : end]
+        role, found, text = body.partition(t.sep)
+        self.whole &= self.text.startswith(t.open) and bool(found)
+        role = t.unquote(role)
+        self.turns.update(f"{role}\n{t.unquote(text)}\n".encode())
+        self.n_turns += 1
+        self.state = t.step(self.state, role)
+        plain = t.unquote("".join(self.text[a : min(b, after)] for a, b in self.marks if a < after))
+        self.loss_chars += len(plain)
+        self.learned.update(plain.encode())
+        self.marks = [(max(a, after) - after, b - after) for a, b in self.marks if b > after]
+        self.text, self.seen = self.text[after:], 0
+
+    def row(self) -> tuple:
+        ok = self.whole and not self.text and self.state in self.t.ends
         return (
             self.conv, self.n_turns, self.turns.hexdigest(), self.loss_chars,
             self.learned.hexdigest(), self.chars, ok,
