@@ -85,7 +85,7 @@ class _Postings:
             return
         low = A.LOWER[data].astype(np.uint32)
         code = (low[:-2] << 16) | (low[1:-1] << 8) | low[2:]
-        number = np.zeros(1 << 24, np.uint8)
+        number = np.zeros(1 << 24, np.min_scalar_type(len(wanted)))
         for k, tri in enumerate(wanted, 1):
             number[int.from_bytes(tri, "big")] = k
         found = number[code]
@@ -111,7 +111,6 @@ class _Postings:
 
 def _scan(rules: tuple[Rule, ...], queries: list[T.Query]):
     wanted = sorted(set().union(*map(T.trigrams, queries)))
-    assert len(wanted) < 256
 
     def scan(batches):
         compiled = [re.compile(r.pattern) for r in rules]

@@ -3,16 +3,30 @@
 ``query(pattern)`` says which trigrams any match must hold, as nested tuples
 ``("and", parts)`` and ``("or", parts)`` over trigrams (three bytes, ASCII letters
 in lower case); ``True`` means that no trigram is mandatory.
+
+Where a pattern ignores case, letters that other characters fold to as well (Unicode
+has some beyond ASCII) say nothing; the rest is folded anyway.
 """
 
 from __future__ import annotations
 
+import re
 from re import _constants as C
 from re import _parser
 
 #: Different strings a part of a pattern may spell before it counts as unknown.
 MOST = 64
 Query = bool | bytes | tuple
+#: ASCII letters that letters beyond ASCII equal where case is ignored.
+SHARED = frozenset("iksIKS")
+
+
+def _letter(code: int, flags: int) -> set[str] | None:
+    """How a literal may be spelled in folded text; None if that is open."""
+    c = chr(code)
+    if flags & re.IGNORECASE and not flags & re.ASCII and (code > 127 or c in SHARED):
+        return None
+    return {c.lower() if code < 128 else c}
 
 
 def _and(parts: list[Query]) -> Query:
@@ -34,35 +48,41 @@ def _spelled(strings: set[str]) -> Query:
     return _or(out)
 
 
-def _members(items) -> set[str] | None:
-    """The characters of a class, folded; None if they are many or negated."""
+def _members(items, flags: int) -> set[str] | None:
+    """The characters of a class, folded; None if they are many, open or negated."""
     out: set[str] = set()
     for op, value in items:
         if op is C.LITERAL:
-            out.add(chr(value).lower() if value < 128 else chr(value))
+            codes = [value]
         elif op is C.RANGE and value[1] - value[0] < MOST:
-            out.update(chr(c).lower() if c < 128 else chr(c) for c in range(value[0], value[1] + 1))
+            codes = range(value[0], value[1] + 1)
         else:
             return None
-    return out if len(out) <= 4 else None
+        for code in codes:
+            letters = _letter(code, flags)
+            if letters is None:
+                return None
+            out |= letters
+    return out if len(out) <= MOST else None
 
 
-def _part(op, value) -> tuple[set[str] | None, Query]:
+def _part(op, value, flags: int) -> tuple[set[str] | None, Query]:
     """(all strings it can spell, or None; what any match of it must hold)."""
     if op is C.LITERAL:
-        return {chr(value).lower() if value < 128 else chr(value)}, True
+        return _letter(value, flags), True
     if op is C.IN:
-        return _members(value), True
+        return _members(value, flags), True
     if op is C.SUBPATTERN:
-        return _sequence(value[-1])
+        _, more, less, body = value
+        return _sequence(body, (flags | more) & ~less)
     if op is C.BRANCH:
-        arms = [_sequence(arm) for arm in value[1]]
+        arms = [_sequence(arm, flags) for arm in value[1]]
         if all(exact is not None for exact, _ in arms) and sum(len(e) for e, _ in arms) <= MOST:
             return set().union(*(e for e, _ in arms)), True
         return None, _or([q if e is None else _spelled(e) for e, q in arms])
     if op in (C.MAX_REPEAT, C.MIN_REPEAT, C.POSSESSIVE_REPEAT):
         least, most, body = value
-        exact, held = _sequence(body)
+        exact, held = _sequence(body, flags)
         if (least, most) == (0, 1) and exact is not None:
             return exact | {""}, True
         if exact is not None and least == most and len(exact) ** least <= MOST:
@@ -76,10 +96,10 @@ def _part(op, value) -> tuple[set[str] | None, Query]:
     return None, True
 
 
-def _sequence(parts) -> tuple[set[str] | None, Query]:
+def _sequence(parts, flags: int) -> tuple[set[str] | None, Query]:
     run, held, whole = {""}, [], True
     for op, value in parts:
-        exact, inner = _part(op, value)
+        exact, inner = _part(op, value, flags)
         if exact is not None and len(run) * len(exact) <= MOST:
             run = {a + b for a in run for b in exact}
             continue
@@ -92,7 +112,8 @@ def _sequence(parts) -> tuple[set[str] | None, Query]:
 
 
 def query(pattern: str) -> Query:
-    exact, held = _sequence(_parser.parse(pattern))
+    parsed = _parser.parse(pattern)
+    exact, held = _sequence(parsed, parsed.state.flags)
     return _spelled(exact) if exact is not None else held
 
 
