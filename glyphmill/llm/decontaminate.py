@@ -16,6 +16,10 @@ that is rarest in the whole corpus.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +34,7 @@ FOUND = (
     "phrase_items array<long>, near_items array<long>"
 )
 #: Bytes of benchmark text matched in one pass; a larger benchmark takes several.
-PASS_BYTES = 16 << 20
+PASS_BYTES = 1 << 20
 #: Documents that share a bit map, windows and positions compared at once.
 BLOCK_DOCS, BLOCK_WINDOWS, BLOCK_PLACES = 1 << 12, 1 << 11, 1 << 20
 
@@ -258,20 +262,20 @@ def _rows(shard: _Shard, hit: np.ndarray, exact, near) -> pa.RecordBatch:
     )
 
 
-def _passes(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
+def _passes(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """The benchmark in parts of at most ``PASS_BYTES`` (one longer item is a part
     of its own). The stated query set comes to the driver a part at a time."""
-    parts, size = [[]], 0
+    part, size = [], 0
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter(
         F.col("text").isNotNull() & F.col("item_id").isNotNull()
     )
     for item, text in rows.toLocalIterator():
         if size and size + len(text) > PASS_BYTES:
-            parts.append([])
-            size = 0
-        parts[-1].append((item, text))
+            yield part
+            part, size = [], 0
+        part.append((item, text))
         size += len(text)
-    return parts
+    yield part
 
 
 def find_contamination(
@@ -294,14 +298,18 @@ def find_contamination(
     document table gives an empty result. Other columns are not read.
     """
     parts = _passes(benchmark)
+    first, second = next(parts), next(parts, None)
     index = build_index(docs, shard_bytes)
-    if len(parts) == 1:
+    if second is None:
         stored = materialize(index, "postings")
-        phrases = _phrases(parts[0], window)
+        phrases = _phrases(first, window)
         return stored.mapInArrow(_search(phrases, _proximity(stored, phrases, rare, slack)), FOUND)
-    # Several passes: the same index, each document's finds put together again.
+    # Several passes: the same index, each document's finds put together again. A pass
+    # is written before the next part is read, so that the driver holds the windows of
+    # one part alone.
     numbered = materialize(index.withColumn("shard", F.expr("uuid()")), "postings")
-    return _merge(numbered, [_phrases(p, window) for p in parts], rare, slack)
+    found = [_one_pass(numbered, _phrases(part, window), rare, slack) for part in chain([first, second], parts)]
+    return _merge(found)
 
 
 def _proximity(index: DataFrame, phrases: list, rare: int, slack: int) -> _Near | None:
@@ -311,22 +319,23 @@ def _proximity(index: DataFrame, phrases: list, rare: int, slack: int) -> _Near
     return _Near(phrases, rare, slack, terms, _frequencies(index, terms))
 
 
-def _merge(index: DataFrame, passes: list, rare: int, slack: int) -> DataFrame:
-    found = None
-    for phrases in passes:
-        search = _search(phrases, _proximity(index, phrases, rare, slack))
+def _one_pass(index: DataFrame, phrases: list, rare: int, slack: int) -> DataFrame:
+    search = _search(phrases, _proximity(index, phrases, rare, slack))
+
+    def keyed(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                one = batch.slice(at, 1)
+                name = one.column("shard")[0].as_py()
+                for out in search([one.drop_columns(["shard"])]):
+                    out = out.append_column("shard", pa.array([name] * out.num_rows, pa.string()))
+                    yield out.append_column("n", pa.array(range(out.num_rows), pa.int64()))
+
+    return materialize(index.mapInArrow(keyed, f"{FOUND}, shard string, n long"), "found")
 
-        def keyed(batches, search=search):
-            for batch in batches:
-                for at in range(batch.num_rows):
-                    one = batch.slice(at, 1)
-                    name = one.column("shard")[0].as_py()
-                    for out in search([one.drop_columns(["shard"])]):
-                        out = out.append_column("shard", pa.array([name] * out.num_rows, pa.string()))
-                        yield out.append_column("n", pa.array(range(out.num_rows), pa.int64()))
 
-        part = index.mapInArrow(keyed, f"{FOUND}, shard string, n long")
-        found = part if found is None else found.unionByName(part)
+def _merge(passes: list[DataFrame]) -> DataFrame:
+    found = reduce(DataFrame.unionByName, passes)
     merged = found.groupBy("shard", "n").agg(
         F.first("doc_id").alias("doc_id"),
         F.first("n_words").alias("n_words"),
