@@ -10,7 +10,8 @@ from glyphmill.operators import profiling as P
 from glyphmill.operators import quality as Q
 from glyphmill.plans.catalog import query
 from glyphmill.plans.inputs import BENCH, WORDS, bench_words, table, words
-from glyphmill.session import materialize, spread
+from glyphmill.session import materialize, scratch_path, spread
+from glyphmill.sources.sinks import load_scoring_lm, save_scoring_lm
 
 
 def docs(spark, sf):
@@ -162,6 +163,19 @@ def _(spark, sf):
     return scores.withColumn("score", F.round("score", 5))
 
 
+@query(
+    "lm_score_stored",
+    "D8",
+    f"""WITH {CHAR_LM}, {grams_sql('q', CHAR_LIST, 'conversations', 3, 'conv_id * 100 + turn')}
+    SELECT key AS text_id, round({SCORE}, 5) AS score FROM q LEFT JOIN counts USING (ctx, target) LEFT JOIN contexts USING (ctx) GROUP BY key""",
+)
+def _(spark, sf):
+    path = scratch_path(spark, "scoring-lm")
+    save_scoring_lm(P.ngram_counts(docs(spark, sf)), path, spark.sparkContext.defaultParallelism)
+    texts = spread(table(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("text_id"), "text"))
+    return P.lm_score(texts, *load_scoring_lm(spark, path)).withColumn("score", F.round("score", 5))
+
+
 @query(
     "most_likely_next",
     "D9",

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphmill.operators.profiling import END, context_counts
+
 
 def write_pipe_labels(
     rows: DataFrame, path: str, order: Sequence[str] = ("line_no",), fields: Sequence[str] = ("image_path", "text")
@@ -92,3 +95,40 @@ def save_lm(counts: DataFrame, vocab: DataFrame, path: str) -> None:
 
 def load_lm(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/counts"), spark.read.parquet(f"{path}/vocab")
+
+
+def _bucketed_table(spark: SparkSession, path: str, name: str, columns: Sequence[str], buckets: int, rows: DataFrame | None = None) -> DataFrame:
+    """A bucketed table at ``path/name``, written from ``rows`` or found there, under a
+    name of its own in the session's catalog."""
+    table = f"lm_{name}_{uuid.uuid4().hex}"
+    place = f"{path}/{name}"
+    if rows is not None:
+        dealt = rows.repartition(buckets, *columns)
+        dealt.write.format("parquet").bucketBy(buckets, *columns).sortBy(*columns).option("path", place).saveAsTable(table)
+    else:
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(place).schema)
+        spark.sql(
+            f"CREATE TABLE {table} ({fields}) USING parquet CLUSTERED BY ({', '.join(columns)}) INTO {buckets} BUCKETS LOCATION '{place}'"
+        )
+    return spark.table(table)
+
+
+def save_scoring_lm(counts: DataFrame, path: str, buckets: int) -> None:
+    """Store a language model so that scoring never moves it: n-grams in buckets by
+    context and token, contexts in buckets by context, and the number of tokens.
+    ``buckets`` should be about the stored bytes by what a task sorts well (100 MB)."""
+    spark = counts.sparkSession
+    stored = _bucketed_table(spark, path, "counts", ["ctx", "target"], buckets, counts.select("ctx", "target", "cnt"))
+    _bucketed_table(spark, path, "contexts", ["ctx"], buckets, context_counts(stored))
+    about = stored.filter(F.col("target") != END).agg(F.countDistinct("target").alias("v"), F.lit(buckets).alias("buckets"))
+    about.coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
+
+
+def load_scoring_lm(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``counts, contexts, v`` as :func:`profiling.lm_score` takes them. Its joins then
+    shuffle the n-grams of the texts alone."""
+    about = spark.read.parquet(f"{path}/about")
+    buckets = about.first()["buckets"]
+    counts = _bucketed_table(spark, path, "counts", ["ctx", "target"], buckets)
+    contexts = _bucketed_table(spark, path, "contexts", ["ctx"], buckets)
+    return counts, contexts, about.select("v")

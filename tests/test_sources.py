@@ -209,3 +209,32 @@ def test_write_pipe_labels_query_counts_copies(spark, monkeypatch):
     monkeypatch.setattr(sinks, "write_pipe_labels", lambda rows, path: write(rows.unionByName(rows), path))
     out = CATALOG["write_pipe_labels"].build(spark, "/root/testdata/sf0.001").collect()
     assert out and {r["copies"] for r in out} == {2}
+
+
+def test_a_stored_model_is_not_moved_for_scoring(spark, tmp_path):
+    """Between the tables of the model and the joins there is no exchange."""
+    corpus = spark.createDataFrame([("the cat sat on the mat",), ("a rat ran",), ("\x01|||é",)], "text string")
+    counts = profiling.ngram_counts(corpus)
+    sinks.save_scoring_lm(counts, str(tmp_path / "lm"), 8)
+    model = sinks.load_scoring_lm(spark, str(tmp_path / "lm"))
+    texts = spark.createDataFrame([(1, "the rat"), (2, ""), (3, "zzz"), (4, "\x01|||")], "text_id long, text string")
+    want = dict(profiling.lm_score(texts, counts, profiling.context_counts(counts), profiling.vocab_size(counts)).collect())
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scored = profiling.lm_score(texts, *model)
+        got = dict(scored.collect())
+        plan = scored._jdf.queryExecution().explainString(scored._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got == pytest.approx(want)
+    final = plan.splitlines()
+    scans = [i for i, line in enumerate(final) if "Bucketed: true" in line]
+    assert len(scans) == 4  # both tables, in the final plan and the first one
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    for i in scans:
+        # Its parents, up to the join it feeds.
+        at = i
+        while "SortMergeJoin" not in final[at]:
+            at = next(j for j in range(at - 1, -1, -1) if depth(final[j]) < depth(final[at]))
+            assert "Exchange" not in final[at]
