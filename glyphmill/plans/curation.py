@@ -10,6 +10,7 @@ from glyphmill.operators.labeling import auto_label
 from glyphmill.plans.catalog import query
 from glyphmill.plans.inputs import (
     BENCH,
+    BUCKETS,
     DIMS,
     LABELS,
     MIN_CONF,
@@ -396,13 +397,13 @@ def _(spark, sf):
     "union_sources",
     "C14",
     f"""WITH {LABELS} SELECT image_path, text, label_file, md5('42:' || image_path || ':' || text) AS order_key
-    FROM labels_v WHERE bucket IN ('morphed', 'real')""",
+    FROM labels_v""",
 )
 def _(spark, sf):
     rows = label_rows(spark, sf)
     frames = {
-        "fr.txt": rows.filter(F.col("bucket") == "morphed").select("image_path", "text"),
-        "de.txt": rows.filter(F.col("bucket") == "real").select("image_path", "text"),
+        f"{lang}.txt": rows.filter(F.col("bucket") == bucket).select("image_path", "text")
+        for lang, bucket in BUCKETS.items()
     }
     return suites.union_sources(frames, seed=42)
 

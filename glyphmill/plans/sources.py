@@ -245,9 +245,13 @@ def _(spark, sf):
         )
     )
     line = F.when(kind == 3, "{broken").when(kind == 4, " ").when(kind == 5, '{"other": 1}').otherwise(good)
-    lines = table(spark, sf, "events").select(
-        F.col("event_type").alias("label_file"), F.col("event_id").alias("line_no"), line.alias("line")
-    )
+    path = scratch_path(spark, "metrics")
+    # A file of a run for each type of event, its lines in order.
+    runs = table(spark, sf, "events").select("event_type", "event_id", line.alias("value"))
+    placed = runs.repartition("event_type").sortWithinPartitions("event_type", "event_id")
+    placed.select("event_type", "value").write.partitionBy("event_type").text(path)
+    numbered = labels.with_line_numbers(labels.read_lines(spark, path))
+    lines = numbered.withColumn("label_file", F.regexp_extract("label_file", "/event_type=([^/]+)/", 1))
     return labels.parse_metrics(lines).select(
         "label_file",
         F.col("exact_match").cast("long").alias("kind"),
@@ -261,12 +265,15 @@ def _(spark, sf):
 @query(
     "read_wiki_dump",
     "A12",
-    f"""SELECT page_id, clean AS text FROM (SELECT page_id, {html_sql('a-zA-Z')} AS clean
-      FROM (SELECT page_id, html AS raw FROM pages)) WHERE length(clean) > 50""",
+    f"""SELECT clean AS text FROM (SELECT {html_sql('a-zA-Z')} AS clean
+      FROM (SELECT html AS raw FROM pages)) WHERE length(clean) > 50""",
 )
 def _(spark, sf):
-    pages = spread(table(spark, sf, "pages").select("page_id", F.col("html").alias("text")))
-    return boxes.keep_long_text(pages, "a-zA-Z")
+    path = scratch_path(spark, "dump")
+    body = F.struct(F.struct(F.col("html").alias("_VALUE")).alias("text")).alias("revision")
+    pages = spread(table(spark, sf, "pages")).select(F.col("url").alias("title"), body)
+    pages.write.format("xml").option("rootTag", "mediawiki").option("rowTag", "page").option("compression", "bzip2").save(path)
+    return boxes.read_wiki_dump(spark, path, script="a-zA-Z")
 
 
 @query(
