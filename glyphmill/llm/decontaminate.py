@@ -225,17 +225,21 @@ def _search(phrases, proximity: _Near | None):
                 shard = _Shard(row)
                 lo, hi = shard.lookup(flat)
                 missing = A.row_sums(hi == lo, bounds) if len(flat) else np.zeros(0, int)
-                hit = np.zeros(int(shard.first[-1]), bool)
+                n = int(shard.first[-1])
+                found, sizes = [], []
                 exact = [set() for _ in shard.ids]
                 near = [set() for _ in shard.ids]
                 for w in np.flatnonzero(missing == 0):
                     a, b = bounds[w], bounds[w + 1]
                     starts = _phrase_starts(shard, lo[a:b], hi[a:b])
-                    for r in np.unique(shard.row_of(starts)):
-                        exact[r].update(phrases[w][1])
                     if len(starts):
-                        hit |= A.covered(starts, b - a, len(hit))
-                for rows, windows in proximity.find(shard) if proximity and len(hit) else ():
+                        for r in set(shard.row_of(starts).tolist()):
+                            exact[r].update(phrases[w][1])
+                        found.append(starts)
+                        sizes.append(np.full(len(starts), b - a))
+                # The words of all windows found are marked at once.
+                hit = A.covered(np.concatenate(found), np.concatenate(sizes), n) if found else np.zeros(n, bool)
+                for rows, windows in proximity.find(shard) if proximity and n else ():
                     for r, w in zip(rows.tolist(), windows.tolist(), strict=True):
                         near[r].update(phrases[w][1])
                 yield _rows(shard, hit, exact, near)
