@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
+from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from glyphmill.operators.ranking import flag_first, shuffle_key, take_first
+from glyphmill.operators.ranking import flag_first, hash_cutoff, shuffle_key, take_first
+from glyphmill.session import materialize
 
 RECORD = ("image_path", "text")
 
@@ -112,6 +115,42 @@ def compose_with_backfill(primary: DataFrame, fallback: DataFrame, n: int | None
     return sample_pool(primary, n, seed).unionByName(filler)
 
 
+@dataclass(frozen=True)
+class _Draw:
+    """The first ``k`` of the ``size`` rows for which ``rows`` holds, in md5 order."""
+
+    name: str
+    rows: Column
+    seed: int | str
+    k: int
+    size: int
+
+    @property
+    def key(self) -> Column:
+        return shuffle_key(self.seed, *RECORD)
+
+
+def _drawn(table: DataFrame, draws: Sequence[_Draw]) -> dict[str, Column]:
+    """A condition per draw that is true for the rows drawn.
+
+    One pass counts the hash bins of all draws together and a second one looks into
+    one bin of each; draws of nothing or of everything need no pass. One cut per draw
+    comes to the driver, so that the conditions are literals.
+    """
+    cut_draws = [d for d in draws if 0 < d.k < d.size]
+    cuts = {}
+    if cut_draws:
+        asked = F.array(*[F.when(d.rows, F.struct(F.lit(d.name).alias("draw"), d.key.alias("_key"))) for d in cut_draws])
+        keys = table.select(F.explode(F.array_compact(asked)).alias("_d")).select("_d.draw", "_d._key")
+        takes = F.create_map(*[F.lit(v) for d in cut_draws for v in (d.name, d.k)])
+        found = hash_cutoff(keys, "_key", lambda _: takes[F.col("draw")], by=["draw"])
+        cuts = {r["draw"]: r["cutoff"] for r in found.collect()}
+    return {
+        d.name: d.rows & (d.key <= cuts[d.name]) if d.name in cuts else d.rows & F.lit(d.k > 0)
+        for d in draws
+    }
+
+
 def build_suites(
     pooled: DataFrame,
     synthetic_size: int | None = None,
@@ -125,54 +164,70 @@ def build_suites(
     ``real_only`` from the pools synthetic / morphed / real / iiit_holdout.
 
     Returns the suite rows (with a ``suite`` column), the carved holdout rows
-    (with ``part``), and warnings about pools that were missing. Only the four
-    pool sizes come to the driver: they decide which suites exist.
+    (with ``part``), and warnings about pools that were missing.
+
+    The pools are computed once and stored; their sizes are observed while they are
+    written. The holdout is cut first, as the other draws count its rows; then one
+    histogram answers all other quotas, and one projection emits a row for each suite
+    that it belongs to. Pool sizes and one cut per quota come to the driver.
     """
-    sizes = {r["bucket"]: r["n"] for r in provenance_counts(pooled, "bucket").collect()}
-    pool = {name: pooled.filter(F.col("bucket") == name) for name in ("synthetic", "morphed", "real", "iiit_holdout")}
-    has = {name: sizes.get(name, 0) for name in pool}
+    names = ("synthetic", "morphed", "real", "iiit_holdout")
+    of = {name: F.col("bucket") == name for name in names}
+    seen = Observation(f"pools-{uuid4().hex}")
+    table = materialize(pooled.observe(seen, *[F.count_if(of[name]).alias(name) for name in names]), "pools")
+    has = {name: int(seen.get[name]) for name in names}
     warnings: list[str] = []
 
     needed = max(real_size or 0, -(-mixed_size // 2) if mixed_size else has["morphed"])
     deficit = max(0, needed - has["real"])
     carved = None
-    backup = pool["iiit_holdout"]
+    held, held_size = F.lit(False), 0
     effective_real = has["real"]
     if has["iiit_holdout"]:
-        carved = carve_holdout(pool["iiit_holdout"], holdout_ratio, holdout_count, deficit, seed)
-        backup = carved.filter(F.col("part") == "holdout").drop("part")
+        wanted = holdout_count
+        if wanted is None:
+            wanted = max(1, -int(-has["iiit_holdout"] * holdout_ratio // 1), deficit)
+        held_size = max(0, min(wanted, has["iiit_holdout"]))
+        holdout = _Draw("holdout", of["iiit_holdout"], seed, held_size, has["iiit_holdout"])
+        held = _drawn(table.filter(of["iiit_holdout"]), [holdout])["holdout"]
+        carved = table.filter(of["iiit_holdout"]).withColumn("part", F.when(held, "holdout").otherwise("retrain"))
         if deficit:
-            wanted = holdout_count
-            if wanted is None:
-                wanted = max(1, -int(-has["iiit_holdout"] * holdout_ratio // 1), deficit)
-            effective_real += min(wanted, has["iiit_holdout"])
+            effective_real += held_size
             warnings.append("the holdout was appended to the real pool, which was too small")
 
-    suites: list[DataFrame] = []
+    draws: list[tuple[str, _Draw]] = []
+
+    def draw(suite: str, pool: str, rows: Column, n: int | None, size: int) -> int:
+        """Draw up to n rows (all when None); what n still lacks then."""
+        word = {"synthetic_only": "synthetic", "synthetic_morphed_plus_real": "mixed", "real_only": "real"}[suite]
+        k = size if n is None else max(0, min(n, size))
+        draws.append((suite, _Draw(f"{suite}/{pool}", rows, f"{seed}-{word}", k, size)))
+        return 0 if n is None else n - k
+
     if has["synthetic"] and synthetic_size != 0:
-        only = sample_pool(pool["synthetic"], synthetic_size, f"{seed}-synthetic")
-        suites.append(only.withColumn("suite", F.lit("synthetic_only")))
+        draw("synthetic_only", "synthetic", of["synthetic"], synthetic_size, has["synthetic"])
     else:
         warnings.append("synthetic_only skipped: no synthetic labels")
 
     if has["morphed"] and effective_real:
         side = max(1, mixed_size // 2) if mixed_size is not None else min(has["morphed"], effective_real)
-        mixed = sample_pool(pool["morphed"], side, f"{seed}-mixed").unionByName(
-            compose_with_backfill(pool["real"], backup, side, f"{seed}-mixed")
-        )
-        suites.append(mixed.withColumn("suite", F.lit("synthetic_morphed_plus_real")))
+        draw("synthetic_morphed_plus_real", "morphed", of["morphed"], side, has["morphed"])
+        missing = draw("synthetic_morphed_plus_real", "real", of["real"], side, has["real"])
+        draw("synthetic_morphed_plus_real", "held", held, missing, held_size)
     else:
         warnings.append("synthetic_morphed_plus_real skipped: both morphed and real pools are needed")
 
     if (has["real"] or has["iiit_holdout"]) and real_size != 0:
-        real = compose_with_backfill(pool["real"], backup, real_size, f"{seed}-real")
-        suites.append(real.withColumn("suite", F.lit("real_only")))
+        missing = draw("real_only", "real", of["real"], real_size, has["real"])
+        draw("real_only", "held", held, None if real_size is None else missing, held_size)
     else:
         warnings.append("real_only skipped: no real labels are asked for or given")
 
-    if not suites:
+    if not draws:
         raise ValueError("no suite could be built: give at least one non-empty pool")
-    return reduce(DataFrame.unionByName, suites), carved, warnings
+    chosen = _drawn(table, [d for _, d in draws])
+    belongs = F.array_compact(F.array(*[F.when(chosen[d.name], F.lit(suite)) for suite, d in draws]))
+    return table.select("*", F.explode(belongs).alias("suite")), carved, warnings
 
 
 def cap_rows(rows: DataFrame, n: int, order: Sequence[str] = ("line_no",)) -> DataFrame:

@@ -145,6 +145,27 @@ def test_suites_fill_up_from_the_holdout(spark):
     assert len(warnings) == 1
 
 
+def test_one_pass_draws_what_single_draws_do(spark):
+    pooled = pool(spark, synthetic=60, morphed=50, real=9, iiit_holdout=40)
+    suite, carved, _ = suites.build_suites(pooled, synthetic_size=20, mixed_size=30, real_size=21, holdout_count=25)
+    of = {b: pooled.filter(F.col("bucket") == b) for b in ("synthetic", "morphed", "real", "iiit_holdout")}
+    held = suites.carve_holdout(of["iiit_holdout"], count=25).filter("part = 'holdout'").drop("part")
+    want = {
+        "synthetic_only": suites.sample_pool(of["synthetic"], 20, "42-synthetic"),
+        "synthetic_morphed_plus_real": suites.sample_pool(of["morphed"], 15, "42-mixed").unionByName(
+            suites.compose_with_backfill(of["real"], held, 15, "42-mixed")
+        ),
+        "real_only": suites.compose_with_backfill(of["real"], held, 21, "42-real"),
+    }
+    for name, rows in want.items():
+        got = suite.filter(F.col("suite") == name).select("image_path", "text", "bucket").collect()
+        assert sorted(got) == sorted(rows.select("image_path", "text", "bucket").collect()), name
+    assert carved.filter("part = 'holdout'").count() == held.count() == 25
+    # The pools are read from the stored table alone, and no row is moved.
+    plan = suite._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan
+
+
 def test_suites_need_some_pool(spark):
     suite, _, warnings = suites.build_suites(pool(spark, synthetic=2, morphed=0))
     assert suite.count() == 2 and len(warnings) == 2
