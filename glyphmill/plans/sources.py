@@ -8,13 +8,14 @@ import string
 from pyspark.sql import functions as F
 
 from glyphmill.operators.profiling import ngram_counts, word_counts
+from glyphmill.operators.quality import image_stat_check
 from glyphmill.operators.suites import merge_labels, provenance_counts
 from glyphmill.plans.catalog import query
 from glyphmill.plans.inputs import LABELS, WORDS, doc_words, label_rows, table, words
 from glyphmill.plans.profiling import CHAR_LM, docs
 from glyphmill.plans.text import html_sql
 from glyphmill.session import scratch_path, spread
-from glyphmill.sources import boxes, labels, sinks
+from glyphmill.sources import boxes, files, labels, sinks
 
 # Label lines of every kind: blank, without a pipe, with two, padded, without text.
 LINES = f"""{LABELS}, lines AS (SELECT label_file, line_no, CASE line_no % 10 WHEN 3 THEN '   ' WHEN 4 THEN replace(text, '|', ' ')
@@ -352,3 +353,92 @@ def _(spark, sf):
     sinks.save_lm(ngram_counts(corpus), word_counts(corpus).select(F.col("word").alias("token")), path)
     counts, _vocab = sinks.load_lm(spark, path)
     return sinks.export_ngrams(sinks.import_ngrams(sinks.export_ngrams(counts), 3))
+
+
+# A page is an image file of its own: PNG, BMP, JPEG with a preview that names another
+# size, a PNG that is cut short, or the text of the page.
+IMAGES_SQL = """im AS (SELECT page_id, url, [ 'png', 'bmp', 'jpeg', 'png', NULL ][page_id % 5 + 1] AS kind,
+    CASE WHEN page_id % 5 < 3 THEN 1 + page_id * 37 % 5000 END AS width, CASE WHEN page_id % 5 < 3 THEN 32 + page_id % 9 END AS height FROM pages)"""
+
+
+def image_files(spark, sf):
+    """Write the images below a folder, one file each, named by its page."""
+
+    def big(value, size):
+        return F.lpad(F.hex(value), 2 * size, "0")
+
+    def little(value):
+        return F.concat(*[F.substring(big(value, 4), at, 2) for at in (7, 5, 3, 1)])
+
+    width, height = 1 + F.col("page_id") * 37 % 5000, 32 + F.col("page_id") % 9
+    png = F.concat(F.lit(files.PNG + "0000000D49484452"), big(width, 4), big(height, 4), F.lit("0802000000"))
+    bmp = F.concat(F.lit(files.BMP + "00" * 8 + "3600000028000000"), little(width), little(height), F.lit("01001800"))
+    body = F.hex(F.substring(F.encode("url", "UTF-8"), 1, 60000))
+    preview = F.concat(F.lit("FFD8FFC000110800010001"), body)
+    segment = F.concat(F.lit("FFE1"), big(F.floor(F.length(preview) / 2) + 2, 2), preview)
+    jpeg = F.concat(F.lit(files.JPEG), segment, F.lit("FFC2001108"), big(height, 2), big(width, 2), F.lit("03" + "00" * 9 + "FFDA"))
+    kind = F.col("page_id") % 5
+    head = F.when(kind == 0, png).when(kind == 1, bmp).when(kind == 2, jpeg).when(kind == 3, F.substring(png, 1, 36)).otherwise(F.lit(""))
+    content = F.concat(F.unhex(head), F.encode(F.coalesce("html", F.lit("")), "UTF-8"))
+    # The text writer puts the bytes of a row down as they are.
+    content = F.when(kind == 3, F.unhex(head)).otherwise(content).cast("string")
+    path = scratch_path(spark, "images")
+    pages = table(spark, sf, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("image"), content.alias("value"))
+    spread(pages).write.partitionBy("image").text(path)
+    return path
+
+
+def page_of(path: str = "path"):
+    return F.regexp_extract(path, "/image=p([0-9]+)/", 1).cast("long")
+
+
+@query("read_images", "Q5", f"WITH {IMAGES_SQL} SELECT page_id, kind, width, height, width IS NOT NULL AS readable FROM im")
+def _(spark, sf):
+    images = files.read_images(spark, image_files(spark, sf))
+    return images.select(page_of().alias("page_id"), "kind", "width", "height", "readable")
+
+
+@query(
+    "image_stats_of_files",
+    "Q5",
+    f"""WITH {IMAGES_SQL} SELECT coalesce(kind, 'none') AS dataset, count(*) AS total, count(*) AS checked, count(*) FILTER (WHERE width IS NULL) AS failed,
+      min(width) AS width_min, max(width) AS width_max, CAST(floor(avg(width)) AS BIGINT) AS width_avg, count(DISTINCT height) AS distinct_heights
+    FROM im GROUP BY ALL""",
+)
+def _(spark, sf):
+    images = files.read_images(spark, image_files(spark, sf))
+    return image_stat_check(images.withColumn("dataset", F.coalesce("kind", F.lit("none"))))
+
+
+@query(
+    "unlabeled_images",
+    "A4",
+    """SELECT 'p' || page_id || '.png' AS filename FROM pages WHERE page_id NOT IN (SELECT doc_id FROM labels)""",
+)
+def _(spark, sf):
+    listed = files.list_files(spark, image_files(spark, sf))
+    names = listed.select(F.concat(F.lit("p"), page_of().cast("string"), F.lit(".png")).alias("filename"))
+    labeled = table(spark, sf, "labels").select(F.concat(F.lit("p"), F.col("doc_id").cast("string"), F.lit(".png")).alias("filename"))
+    return labels.unlabeled_files(names, labeled)
+
+
+@query(
+    "resolve_listed",
+    "A4",
+    """SELECT page_id, page_id % 3 AS kind, CASE WHEN page_id % 3 = 0 THEN 'images/p' || page_id || '.png'
+      WHEN page_id % 3 = 1 AND page_id % 2 = 1 THEN 'p' || page_id || '.png' END AS path FROM pages""",
+)
+def _(spark, sf):
+    # Files of kind 0 lie in the images folder, of kind 1 beside it, where a name that
+    # begins with images/ does not find them, of kind 2 elsewhere.
+    root = image_files(spark, sf)
+    kind = page_of() % 3
+    name = F.concat(F.lit("p"), page_of().cast("string"), F.lit(".png"))
+    there = files.list_files(spark, root).select(
+        F.concat(F.lit("/gt/"), F.when(kind == 0, "images/").when(kind == 1, "").otherwise("elsewhere/"), name).alias("path")
+    )
+    names = table(spark, sf, "pages").select(
+        "page_id", F.concat(F.when(F.col("page_id") % 2 == 0, "images/").otherwise(""), F.lit("p"), F.col("page_id").cast("string"), F.lit(".png")).alias("filename")
+    )
+    found = labels.resolve_paths(names, there, "/gt/images", "/labels")
+    return found.select("page_id", (F.col("page_id") % 3).alias("kind"), F.regexp_replace("path", "^/gt/", "").alias("path"))
