@@ -6,12 +6,18 @@ them: hidden elements are skipped, blocks stand on lines of their own, paragraph
 and headings apart from the rest, lists have bullets or numbers, cells of a table
 are aligned in columns. All visible text comes out, in order. Nothing recurses, so
 deeply nested pages are safe.
+
+What hides: the ``hidden`` attribute, a closed dialog, the body of closed details, the
+options of a drop-down that are not chosen, ``display`` and ``visibility`` of an
+element's own style or of the page's style sheets. Of these, selectors of one element
+(tag, classes, id) count, from where the sheet stands on; at-rules are passed over.
 """
 
 from __future__ import annotations
 
 import re
 from html import unescape
+from unicodedata import combining, east_asian_width
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,6 +48,7 @@ ENDS = {
     "dd": (("dt", "dd"), ("dl",)),
     "option": (("option",), ("select", "datalist", "optgroup")),
     "optgroup": (("optgroup", "option"), ("select",)),
+    "select": (("select",), ("table", "td", "th", "body")),
     "tr": (("tr", "caption"), ("table",)),
     "td": (("td", "th"), ("table", "tr")),
     "th": (("td", "th"), ("table", "tr")),
@@ -56,7 +63,13 @@ SCOPE = frozenset("table td th caption button object".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-NOT_SHOWN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
+COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+SHEET = re.compile(r"\s*(@?)([^{};]*)(?:;|\{([^{}]*)\}?|\Z)")
+BRACE = re.compile(r"[{}]")
+SIMPLE = re.compile(r"([a-z][a-z0-9]*|\*)?((?:[.#][\w-]+)*)\Z", re.I)
+#: Inputs whose value is not text on the page.
+SILENT = frozenset("hidden password checkbox radio file range color image".split())
 GAP = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -71,6 +84,74 @@ def _count(value: str | None) -> int:
     return min(max(int(value), 1), 1000) if value and value.strip().isdigit() else 1
 
 
+def _room(text: str) -> int:
+    """Columns that a text takes: two for a wide character, none for a mark."""
+    if text.isascii():
+        return len(text)
+    return sum(0 if combining(c) else 2 if east_asian_width(c) in "WF" else 1 for c in text)
+
+
+class _Sheet:
+    """The display and visibility that the page's style sheets give to elements."""
+
+    def __init__(self):
+        self.rules: dict[str, list] = {}  # by the last class, id or tag of the selector
+        self.order = 0
+
+    def read(self, css: str) -> None:
+        css = COMMENT.sub(" ", css)
+        at = 0
+        while at < len(css):
+            m = SHEET.match(css, at)
+            if m is None:  # an end of a block that never began
+                at += 1
+                continue
+            at = m.end() if m.end() > at else at + 1
+            if m[1] and m[3] is not None:
+                at = self._past_block(css, css.index("{", m.start()))
+            elif m[3] is not None:
+                found = DECLARED.findall(m[3])
+                for selector in m[2].split(",") if found else ():
+                    self._add(selector.strip(), found)
+
+    @staticmethod
+    def _past_block(css: str, at: int) -> int:
+        depth = 0
+        for m in BRACE.finditer(css, at):
+            depth += 1 if m[0] == "{" else -1
+            if depth <= 0:
+                return m.end()
+        return len(css)
+
+    def _add(self, selector: str, found) -> None:
+        m = SIMPLE.match(selector) if selector else None
+        if m is None:
+            return
+        tag = (m[1] or "*").lower()
+        names = re.findall(r"[.#][\w-]+", m[2])
+        weight = (sum(n[0] == "#" for n in names), sum(n[0] == "." for n in names), tag != "*")
+        self.order += 1
+        for name, value, important in found:
+            rule = (tag, frozenset(names), (bool(important), *weight, self.order), name.lower(), value.lower())
+            self.rules.setdefault(names[-1] if names else tag, []).append(rule)
+
+    def of(self, tag: str, marks: dict[str, str]) -> dict[str, str]:
+        best: dict[str, tuple] = {}
+        if self.rules:
+            own = {"." + c for c in marks.get("class", "").split()}
+            if marks.get("id"):
+                own.add("#" + marks["id"])
+            for key in (*own, tag, "*"):
+                for wanted, names, weight, name, value in self.rules.get(key, ()):
+                    if wanted in ("*", tag) and names <= own:
+                        best[name] = max(best.get(name, ((False,), "")), (weight, value))
+        for name, value, important in DECLARED.findall(marks.get("style", "")):
+            weight = (bool(important), 1 << 30)
+            if weight >= best.get(name.lower(), ((False,), ""))[0]:
+                best[name.lower()] = (weight, value.lower())
+        return {name: value for name, (_, value) in best.items()}
+
+
 class _Flow:
     """Lines under way: of the page, or of one table cell."""
 
@@ -122,8 +203,12 @@ class _Flow:
 class _Page:
     def __init__(self):
         self.open: list[tuple[str, bool, int]] = []  # tag, hidden, length of prefix
+        self.veils: list[bool] = []  # for each open element: laid out, but invisible
+        self.shut: dict[int, bool] = {}  # closed details by depth: has the summary come?
+        self.sheet = _Sheet()
+        self.selects: list[list | None] = []  # drop-downs: first option, chosen one
         self.flows = [_Flow()]
-        self.tables: list[list[list[tuple[list[str], int]]]] = []
+        self.tables: list[list[list[tuple[list[str], int, int]]]] = []
         self.lists: list[list] = []  # [ordered, next number]
         self.pre = 0
         self.foreign: list[str] = []  # svg and math that are open, and HTML inside them
@@ -151,16 +236,27 @@ class _Page:
         if tag in ("td", "th") and (not self.open or self.open[-1][0] != "tr") and self.tables:
             self.start("tr", "")
         hide = self.hidden() or tag in HIDDEN or tag in HIDDEN_WITHIN.get(around, ())
+        depth = len(self.open)
+        if depth in self.shut:
+            hide |= tag != "summary" or self.shut[depth]
+            self.shut[depth] |= tag == "summary"
         marks: dict[str, str] = {}
-        if raw and not hide:
-            marks = _attributes(raw)
-            hide = "hidden" in marks or bool(NOT_SHOWN.search(marks.get("style", "")))
-            hide |= tag == "dialog" and "open" not in marks
+        veil = bool(self.veils) and self.veils[-1]
+        if not hide:
+            marks = _attributes(raw) if raw else {}
+            style = self.sheet.of(tag, marks)
+            closed = "hidden" in marks or (tag == "dialog" and "open" not in marks)
+            hide = style.get("display") == "none" or (closed and style.get("display") is None)
+            seen = style.get("visibility")
+            veil = seen in ("hidden", "collapse") if seen in ("hidden", "collapse", "visible", "initial") else veil
         if tag in VOID:
-            if not hide:
+            if not hide and (tag == "br" or not veil):
                 self._void(tag, marks)
             return
         self.open.append((tag, hide, len(self.flows[-1].prefix)))
+        self.veils.append(veil)
+        if tag == "details" and not hide and "open" not in marks:
+            self.shut[len(self.open)] = False
         if tag in FOREIGN:
             self.foreign.append(tag)
         if around and tag in APART and not hide:
@@ -191,7 +287,9 @@ class _Page:
                 return
 
     def _pop(self) -> None:
+        self.shut.pop(len(self.open), None)
         tag, hide, prefix = self.open.pop()
+        self.veils.pop()
         if tag in FOREIGN:
             self.foreign.pop()
         if tag in APART and not hide and self.within():
@@ -208,32 +306,48 @@ class _Page:
         elif tag == "hr":
             flow.end_line()
             flow.blank = True
-        elif tag == "input" and marks.get("type", "").lower() in ("submit", "reset", "button") and marks.get("value"):
+        elif tag == "input" and marks.get("type", "").strip().lower() not in SILENT and marks.get("value"):
             flow.text(" " + marks["value"] + " ")
 
     def _enter(self, tag: str, marks: dict[str, str]) -> None:
         flow = self.flows[-1]
         if tag in ("td", "th") and self.tables:
-            self.tables[-1][-1].append(([], _count(marks.get("colspan"))))
+            down = marks.get("rowspan", "").strip()
+            rows = min(int(down), 65534) or 65534 if re.fullmatch(r"[0-9]{1,9}", down) else 1
+            self.tables[-1][-1].append(([], _count(marks.get("colspan")), rows))
             self.flows.append(_Flow())
             return
+        if tag == "select":
+            size = marks.get("size", "").strip()
+            drop = "multiple" not in marks and not (size.isdigit() and int(size) > 1)
+            self.selects.append([None, None] if drop else None)
+            if drop:
+                self.flows.append(_Flow())
+            return
+        if self.selects and self.selects[-1] is not None:
+            if tag == "option":
+                self.flows.append(_Flow())
+                self.selects[-1].append("selected" in marks)
+                self.selects[-1].append("disabled" in marks)
+            return
         if tag not in BLOCK:
             return
         flow.end_line()
-        self.blocks += 1
+        veil = self.veils[-1]
+        self.blocks += not veil
         if tag in SPACED and not (tag in ("ul", "ol") and self.lists):
             flow.blank = True
         if tag in ("ul", "ol", "menu", "dir"):
             first = marks.get("start", "")
             self.lists.append([tag == "ol", int(first) if re.fullmatch(r"-?\d{1,9}", first) else 1])
         elif tag == "li":
-            self.items += 1
+            self.items += not veil
             bullet = "- "
             if self.lists and self.lists[-1][0]:
                 bullet = f"{self.lists[-1][1]}. "
                 self.lists[-1][1] += 1
             flow.prefix.append(" " * len(bullet))
-            flow.bullet = bullet
+            flow.bullet = "" if veil else bullet
         elif tag == "dd":
             flow.prefix.append("    ")
         elif tag == "blockquote":
@@ -243,7 +357,7 @@ class _Page:
         elif tag == "table":
             self.tables.append([])
         elif tag == "tr" and self.tables:
-            self.rows += 1
+            self.rows += not veil
             self.tables[-1].append([])
 
     def _leave(self, tag: str, prefix: int) -> None:
@@ -252,6 +366,23 @@ class _Page:
             if self.tables and self.tables[-1] and self.tables[-1][-1]:
                 self.tables[-1][-1][-1][0].extend(lines)
             return
+        if tag == "select" and self.selects:
+            options = self.selects.pop()
+            if options is not None:
+                self.flows.pop()
+                shown = options[0] if options[1] is None else options[1]
+                if shown:
+                    self.flows[-1].text(" " + shown + " ")
+            return
+        if self.selects and self.selects[-1] is not None:
+            if tag == "option":
+                disabled, selected = self.selects[-1].pop(), self.selects[-1].pop()
+                words = " ".join(self.flows.pop().done())
+                if selected:
+                    self.selects[-1][1] = words
+                elif self.selects[-1][0] is None and not disabled:
+                    self.selects[-1][0] = words
+            return
         if tag not in BLOCK:
             return
         flow = self.flows[-1]
@@ -274,7 +405,7 @@ class _Page:
     def words(self, text: str) -> None:
         if self.open and self.open[-1][0] == "head" and not text.isspace():
             self.end("head")
-        if self.hidden():
+        if self.hidden() or (self.veils and self.veils[-1]) or len(self.open) in self.shut:
             return
         if self.pre:
             self.flows[-1].raw(text)
@@ -287,24 +418,35 @@ class _Page:
         return "\n".join(self.flows[0].done()).strip("\n")
 
 
-def _aligned(rows: list[list[tuple[list[str], int]]]) -> list[str]:
+def _aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
     """Rows as lines, each cell padded to its column; a cell over several columns
-    takes the room of all. The last cell of a row is not padded."""
+    takes the room of all. A cell over several rows stands in the first of them and
+    keeps its columns free in the others. The last cell of a row is not padded."""
     width: dict[int, int] = {}
+    taken: dict[int, int] = {}  # rows that a column is still taken for from above
+    grid = []
     for row in rows:
-        at = 0
-        for lines, span in row:
+        placed, at, below = [], 0, {}
+        for lines, span, down in row:
+            while taken.get(at, 0):
+                placed.append(([], at, 1))
+                at += 1
+            placed.append((lines, at, span))
+            if down > 1:
+                below.update(dict.fromkeys(range(at, at + span), down))
             if span == 1:
-                width[at] = max(width.get(at, 0), max(map(len, lines), default=0))
+                width[at] = max(width.get(at, 0), max(map(_room, lines), default=0))
             at += span
+        taken = {c: n - 1 for c, n in (taken | below).items() if n > 1}
+        grid.append(placed)
     out = []
-    for row in rows:
-        for k in range(max((len(lines) for lines, _ in row), default=0)):
-            parts, at = [], 0
-            for lines, span in row:
+    for row in grid:
+        for k in range(max((len(lines) for lines, _, _ in row), default=0)):
+            parts = []
+            for lines, at, span in row:
                 room = sum(width.get(c, 0) for c in range(at, at + span)) + 3 * (span - 1)
-                parts.append((lines[k] if k < len(lines) else "").ljust(room))
-                at += span
+                text = lines[k] if k < len(lines) else ""
+                parts.append(text + " " * (room - _room(text)))
             out.append(" | ".join(parts).rstrip(" "))
     return out
 
@@ -339,7 +481,9 @@ def render(html: str | None) -> tuple[str, int, int, int]:
             low = html.lower() if low is None else low
             stop = low.find("</" + tag, at) if len(low) == end else html.find("</" + tag, at)
             stop = end if stop < 0 else stop
-            if tag == "textarea":
+            if tag == "style":
+                page.sheet.read(html[at:stop])
+            elif tag == "textarea":
                 page.words(unescape(html[at:stop]))
             elif tag == "xmp":
                 page.words(html[at:stop])
