@@ -167,6 +167,18 @@ def test_labeler_failures_stay_in_their_row(spark):
     assert hooks.label_words(done).first()["text_nfc"] == "é"
 
 
+def test_a_labeling_worker_holds_few_pages(spark):
+    def labeler(page):
+        with open("/proc/self/statm") as held:
+            resident = int(held.read().split()[1]) * 4096 / 1e6
+        return [{"x": i, "y": 0, "w": 1, "h": 1, "text": f"{page} {i}", "conf": resident} for i in range(10_000)]
+
+    pages = spark.range(60).select(F.col("id").alias("page_id"), F.col("id").cast("string").alias("local_path")).coalesce(1)
+    words = hooks.label_words(hooks.label_pages(pages, labeler))
+    found = words.agg(F.count("*").alias("n"), F.min("conf").alias("low"), F.max("conf").alias("high")).first()
+    assert found["n"] == 600_000 and found["high"] - found["low"] < 100
+
+
 def test_labeler_is_retried_with_growing_pauses():
     calls, pauses = [], []
 
