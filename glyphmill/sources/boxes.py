@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.functions.text import clean_markup, normalize_text
+from glyphmill.session import join_lookup
 
 RESPONSE_SCHEMA = "map<string, array<struct<x: double, y: double, w: double, h: double, text: string, conf: double>>>"
 # First bytes of the accepted image formats, as hex.
@@ -40,17 +41,19 @@ def read_word_boxes(pages: DataFrame, answers: DataFrame) -> tuple[DataFrame, Da
 
     ``pages``: ``page_id, local_path``; ``answers``: ``page, boxes`` by file
     name. A page without an answer becomes ``label_failed``; one without boxes
-    is labeled all the same.
+    is labeled all the same. Answers stay where they are: the names of the pages come
+    to them as a lookup, and the status looks at which answers there are.
     """
     named = pages.withColumn("page", F.element_at(F.split("local_path", "/"), -1))
-    answered = named.join(answers, "page", "left")
-    missing = F.col("boxes").isNull()
+    there = answers.select("page", F.col("boxes").isNotNull().alias("_there"))
+    answered = named.join(there, "page", "left")
+    missing = ~F.coalesce("_there", F.lit(False))
     status = answered.select(
         *pages.columns,
         F.when(missing, "label_failed").otherwise("labeled").alias("status"),
         F.when(missing, F.concat(F.lit("no response for: "), "page")).alias("error"),
     )
-    return box_rows(answered, "page_id"), status
+    return box_rows(join_lookup(answers, named.select("page", "page_id"), ["page"]), "page_id"), status
 
 
 def read_wiki_dump(

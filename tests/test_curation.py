@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.operators import curation as C
 from glyphmill.operators import labeling, pages, quality, ranking, splits, suites
+from glyphmill.session import deal
 from glyphmill.sources.labels import read_pipe_labels
 
 WORD = "id bigint, page_id bigint, source string, text_nfc string, conf double, x int, y int, w int, h int"
@@ -302,3 +303,20 @@ def test_a_planted_leak_fails_the_job_and_leaves_no_file(spark, tmp_path):
     with pytest.raises(quality.PolicyViolation, match="kept_vs_existing_test"):
         labeling.write_label_sets(judged, none, texts(spark, "ख"), none, str(out))
     assert not out.exists()
+
+
+def test_words_dealt_by_page_stay_there_for_copies(spark):
+    rows = spark.range(200).select(
+        "id", (F.col("id") % 7).alias("page_id"), F.lit("a").alias("text_nfc"), (F.col("id") % 3).alias("x"), F.lit("s").alias("source")
+    )
+    marked = C.filter_dup(C.start(rows.repartition(4, "page_id")), ("page_id", "text_nfc", "x"))
+    assert marked._jdf.queryExecution().toString().split("== Physical Plan ==")[1].count("Exchange") == 1
+    kept = marked.filter("status = 'labeled'").groupBy("page_id", "x").agg(F.min("id").alias("id"), F.count("*").alias("n")).collect()
+    assert len(kept) == 21 and all(r["n"] == 1 and r["id"] < 21 for r in kept)
+
+
+def test_deal_grows_by_parts_not_by_rows_of_a_part(spark):
+    texts = spark.range(64).select("id", F.repeat(F.lit("x"), 1000).alias("text"))
+    dealt = deal(texts, "id", F.octet_length("text"), part=1000)
+    assert dealt.rdd.getNumPartitions() == 64 and dealt.count() == 64
+    assert deal(texts, "id", F.octet_length("text")).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism

@@ -99,6 +99,17 @@ def test_metrics_both_layouts(spark):
     assert labels.parse_metrics(lines).count() == 3
 
 
+def test_answers_stay_where_they_are(spark):
+    box = F.expr("named_struct('x', 0.0D, 'y', 0.0D, 'w', 1.0D, 'h', 1.0D, 'text', 'a', 'conf', 1.0D)")
+    name = F.concat(F.lit("p"), F.col("id").cast("string")).alias("page")
+    answers = spark.range(50).select(name, F.array_repeat(box, 3).alias("boxes"))
+    pages = spark.range(60).select(F.col("id").alias("page_id"), F.concat(F.lit("/x/p"), F.col("id").cast("string")).alias("local_path"))
+    rows, status = boxes.read_word_boxes(pages, answers)
+    plan = rows._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert plan.count("Exchange") == 1 and "glyphmill-lookup" in plan
+    assert rows.count() == 150 and status.filter("status = 'label_failed'").count() == 10
+
+
 def test_word_boxes(spark):
     doc = {"p1.png": [{"x": 1.9, "y": 2, "w": 3, "h": 4, "text": " é ", "conf": 0.5}, {"x": 1, "y": 1, "w": 1, "h": 1, "text": " ", "conf": 1}], "p2.png": []}
     answers = boxes.responses(spark.createDataFrame([(json.dumps(doc),)], "json string"))
