@@ -8,7 +8,7 @@ from glyphmill.operators import local_threshold as L
 from glyphmill.operators import series as S
 from glyphmill.plans.catalog import query
 from glyphmill.plans.inputs import VOCAB, table, tokens
-from glyphmill.session import spread
+from glyphmill.session import deal
 
 
 def pixels(spark, sf):
@@ -26,7 +26,7 @@ PIXELS = """px AS (SELECT l_suppkey AS series_id, l_orderkey % 40 AS y, l_partke
 
 def char_profile(spark, sf):
     """Every character of a document is a column; letters are ink."""
-    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    docs = deal(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", F.octet_length("text"), part=2 << 20)
     cols = docs.select(F.col("doc_id").alias("series_id"), F.posexplode(F.split("text", "")).alias("pos", "ch"))
     return cols.select("series_id", "pos", F.when(F.col("ch").isin(" ", "\n", "\t", "\r", ".", ","), 0).otherwise(F.ascii("ch") % 50 + 1).alias("value"))
 
