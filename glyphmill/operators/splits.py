@@ -21,8 +21,9 @@ def group_split(rows: DataFrame, group: str, ratio: float = 0.15, seed: int = 42
     The order key is a function of the group itself, so once the cut is known
     every row decides alone: no join back, whatever the size of a group.
     """
-    keyed = rows.withColumn("_key", shuffle_key(seed, group))
-    flagged = flag_first(keyed, "_key", _share(ratio), population=keyed.select("_key").distinct(), flag="_val")
+    key = shuffle_key(seed, group)
+    population = rows.select(group).distinct().select(key.alias("_key"))
+    flagged = flag_first(rows.withColumn("_key", key), "_key", _share(ratio), population=population, flag="_val")
     return flagged.withColumn("split", F.when(F.col("_val"), "val").otherwise("train")).drop("_key", "_val")
 
 

@@ -21,6 +21,7 @@ from pyspark.sql.utils import AnalysisException
 
 from glyphmill.operators.quality import PolicyViolation
 from glyphmill.sources.labels import parse_pipe_labels
+from glyphmill.sources.sinks import pipe_line
 
 COMMIT = "version long, folder string, counts map<string,bigint>"
 
@@ -41,17 +42,16 @@ def current(spark: SparkSession, path: str) -> tuple[int, str, dict[str, int]] |
 
 
 def stage(
-    rows: DataFrame, folder: str, order: Sequence[str], fields: Sequence[str], counts: Mapping[str, Column]
+    rows: DataFrame, folder: str, order: Sequence[str], fields: Sequence[Column | str], counts: Mapping[str, Column]
 ) -> dict[str, int]:
     """Write ``path|text`` lines of all sets (column ``split``) in one job and return
     what was counted on the way. The counts are taken behind the shuffle, in the tasks
     that write, so no row is counted twice."""
-    line = F.concat_ws("|", *[F.col(f).cast("string") for f in fields])
     seen = Observation(f"staged-{uuid.uuid4().hex}")
     counts = {"rows": F.count(F.lit(1)), **counts}
     placed = rows.repartitionByRange("split", *order).sortWithinPartitions("split", *order)
     observed = placed.observe(seen, *[c.alias(name) for name, c in counts.items()])
-    observed.select(line.alias("value"), "split").write.partitionBy("split").text(folder)
+    observed.select(pipe_line(fields).alias("value"), "split").write.partitionBy("split").text(folder)
     # A table without rows has no partition that would report; it counts as zero.
     found = seen.get
     return {name: found.get(name) or 0 for name in counts}
@@ -67,7 +67,7 @@ def publish(
     rows: DataFrame,
     path: str,
     order: Sequence[str] = ("id",),
-    fields: Sequence[str] = ("image_path", "text"),
+    fields: Sequence[Column | str] = ("image_path", "text"),
     counts: Mapping[str, Column] | None = None,
     must_be_zero: Sequence[str] = (),
 ) -> int:

@@ -11,16 +11,19 @@ from pyspark.sql import functions as F
 from glyphmill.operators.profiling import END, context_counts
 
 
+def pipe_line(fields: Sequence[Column | str]) -> Column:
+    """Fields, or expressions on the rows, joined by ``|``."""
+    return F.concat_ws("|", *[(F.col(f) if isinstance(f, str) else f).cast("string") for f in fields])
+
+
 def write_pipe_labels(
-    rows: DataFrame, path: str, order: Sequence[str] = ("line_no",), fields: Sequence[str] = ("image_path", "text")
+    rows: DataFrame, path: str, order: Sequence[str] = ("line_no",), fields: Sequence[Column | str] = ("image_path", "text")
 ) -> None:
     """Write ``path|text`` lines (or more fields) as text files, in order over
     the numbered parts. The commit is atomic per folder: readers see all parts
     or none."""
-    line = F.concat_ws("|", *[F.col(f).cast("string") for f in fields])
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).select(line.alias("value")).write.mode(
-        "overwrite"
-    ).text(path)
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed.select(pipe_line(fields).alias("value")).write.mode("overwrite").text(path)
 
 
 def write_splits(rows: DataFrame, path: str) -> None:

@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from glyphmill.operators import curation as C
 from glyphmill.operators import labeling, pages, quality, ranking, splits, suites
-from glyphmill.session import deal
+from glyphmill.session import deal, materialize
 from glyphmill.sources.labels import read_pipe_labels
+from glyphmill.sources.publish import read_published
 
 WORD = "id bigint, page_id bigint, source string, text_nfc string, conf double, x int, y int, w int, h int"
 
@@ -320,3 +321,16 @@ def test_deal_grows_by_parts_not_by_rows_of_a_part(spark):
     dealt = deal(texts, "id", F.octet_length("text"), part=1000)
     assert dealt.rdd.getNumPartitions() == 64 and dealt.count() == 64
     assert deal(texts, "id", F.octet_length("text")).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_label_sets_store_the_words_once(spark, tmp_path, monkeypatch):
+    stored = []
+    monkeypatch.setattr(labeling, "materialize", lambda df, label: stored.append((label, df.count())) or materialize(df, label))
+    rows = words(spark, *[{"id": i, "x": 10 * i, "text_nfc": "क" + "ग" * i} for i in range(1, 9)])
+    none = texts(spark, "x").limit(0)
+    judged = labeling.auto_label(
+        rows.drop("status", "filter_reason"), set("कखगघच"), none, texts(spark, "ख"), none, str(tmp_path), per_source=1, versioned=True
+    )
+    assert stored == [("cascade", 8)]
+    lines = read_published(spark, str(tmp_path)).collect()
+    assert sorted((r["image_path"], r["text"]) for r in lines) == sorted((f"crops/{r['id']}.png", r["text_nfc"]) for r in judged.collect())
