@@ -3,10 +3,11 @@ does not depend on partitioning."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.operators.ranking import flag_first, shuffle_key
+from glyphmill.operators.ranking import flag_first, hash_cutoff, shuffle_key
+from glyphmill.session import join_lookup, materialize
 
 
 def _share(ratio: float):
@@ -96,9 +97,22 @@ def stratified_holdout(
     if not text_disjoint:
         keyed = rows.withColumn("_key", shuffle_key(seed, id_col))
         return flag_first(keyed, "_key", _share(frac), [by], "_val").withColumn("split", label).drop("_key", "_val")
-    texts = rows.groupBy(text).agg(F.min(by).alias(by)).withColumn("_key", shuffle_key(seed, text))
-    drawn = flag_first(texts, "_key", _share(frac), [by], "_val").select(text, "_val")
-    return rows.join(drawn, text).withColumn("split", label).drop("_val")
+    known = rows.filter(F.col(text).isNotNull())
+    first = F.min(by).over(Window.partitionBy(text))
+    pairs = materialize(known.select(text, by).distinct().withColumn("_first", first), "texts")
+    pairs = pairs.withColumn("_key", shuffle_key(seed, text))
+    drawn = pairs.filter(F.col(by).eqNullSafe(F.col("_first"))).select(by, "_key")
+    cuts = materialize(hash_cutoff(drawn, "_key", _share(frac), [by]), "cuts")
+    below = F.coalesce(F.col("_key") <= F.col("cutoff"), F.lit(False))
+    named = F.coalesce(F.concat(F.lit("="), F.col(by).cast("string")), F.lit(""))  # null is a stratum too
+    # Cuts of the strata lie close together, so a text is seldom judged otherwise in its
+    # first stratum than in that of a row; the others need no lookup.
+    judged = pairs.join(cuts, by, "left").withColumn("_own", below).drop("cutoff")
+    judged = judged.join(cuts.withColumnRenamed(by, "_first"), "_first", "left").withColumn("_drawn", below)
+    others = judged.filter(F.col("_own") != F.col("_drawn")).select(text, named.alias("_stratum"), "_drawn")
+    keyed = known.withColumns({"_key": shuffle_key(seed, text), "_stratum": named}).join(cuts, by, "left")
+    met = join_lookup(keyed, others, [text, "_stratum"], "left")
+    return met.withColumn("_val", F.coalesce(F.col("_drawn"), below)).withColumn("split", label).select(*rows.columns, "split")
 
 
 def _hash_bucket(key: Column, modulus: int) -> Column:

@@ -1,5 +1,7 @@
 """Cascade, policy, splits and suites on small hand-made sets."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -334,3 +336,22 @@ def test_label_sets_store_the_words_once(spark, tmp_path, monkeypatch):
     assert stored == [("cascade", 8)]
     lines = read_published(spark, str(tmp_path)).collect()
     assert sorted((r["image_path"], r["text"]) for r in lines) == sorted((f"crops/{r['id']}.png", r["text_nfc"]) for r in judged.collect())
+
+
+def test_disjoint_holdout_by_first_stratum_moves_no_row(spark):
+    rows = spark.range(3000).select(
+        "id",
+        F.when(F.col("id") % 11 > 0, F.concat(F.lit("s"), (F.col("id") % 7 % 3).cast("string"))).alias("source"),
+        F.when(F.col("id") % 13 > 0, F.concat(F.lit("t"), (F.col("id") * F.col("id") % 601).cast("string"))).alias("text_nfc"),
+    )
+    done = splits.stratified_holdout(rows, 0.3, text_disjoint=True)
+    assert "Aggregate" not in done._jdf.queryExecution().executedPlan().toString()
+    first, want = {}, set()
+    for r in rows.filter("text_nfc IS NOT NULL").collect():
+        first[r["text_nfc"]] = min(first.get(r["text_nfc"], "~"), r["source"] or "~")
+    for source in set(first.values()) - {"~"}:
+        mine = sorted((t for t in first if first[t] == source), key=lambda t: hashlib.md5(f"42:{t}".encode()).hexdigest())
+        want |= set(mine[: max(1, int(len(mine) * 0.3))])
+    got = done.collect()
+    assert len(got) == rows.filter("text_nfc IS NOT NULL").count() and len(want) > 50
+    assert all((r["text_nfc"] in want) == (r["split"] == "val") for r in got)
