@@ -3,14 +3,18 @@
 import hashlib
 
 import pytest
+from oracle import compare, connect
 from pyspark.sql import functions as F
 
 from glyphmill.operators import curation as C
 from glyphmill.operators import labeling, pages, quality, ranking, splits, suites
+from glyphmill.plans.all import CATALOG
+from glyphmill.plans.inputs import words as plan_words
 from glyphmill.session import deal, materialize
 from glyphmill.sources.labels import read_pipe_labels
 from glyphmill.sources.publish import read_published
 
+SF = "/root/testdata/sf0.001"
 WORD = "id bigint, page_id bigint, source string, text_nfc string, conf double, x int, y int, w int, h int"
 
 
@@ -355,3 +359,16 @@ def test_disjoint_holdout_by_first_stratum_moves_no_row(spark):
     got = done.collect()
     assert len(got) == rows.filter("text_nfc IS NOT NULL").count() and len(want) > 50
     assert all((r["text_nfc"] in want) == (r["split"] == "val") for r in got)
+
+
+def test_eviction_meets_texts_not_words(spark, monkeypatch):
+    met, evict = [], C.symmetric_eviction
+    monkeypatch.setattr(C, "symmetric_eviction", lambda rows: met.append(rows) or evict(rows))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # candidates too many to be broadcast
+    try:
+        assert compare(CATALOG["symmetric_eviction"].build(spark, SF), connect(SF), CATALOG["symmetric_eviction"].sql) is None
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    n_words = plan_words(spark, SF).count()
+    assert met[0].agg(F.sum("n")).first()[0] == n_words
+    assert met[0].count() == met[0].select("text_nfc", "source", "status", "filter_reason").distinct().count() < n_words
