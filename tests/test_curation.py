@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from glyphmill.operators import curation as C
 from glyphmill.operators import labeling, pages, quality, ranking, splits, suites
 from glyphmill.plans.all import CATALOG
+from glyphmill.plans.curation import cascade
 from glyphmill.plans.inputs import words as plan_words
 from glyphmill.session import deal, materialize
 from glyphmill.sources.labels import read_pipe_labels
@@ -372,3 +373,13 @@ def test_eviction_meets_texts_not_words(spark, monkeypatch):
     n_words = plan_words(spark, SF).count()
     assert met[0].agg(F.sum("n")).first()[0] == n_words
     assert met[0].count() == met[0].select("text_nfc", "source", "status", "filter_reason").distinct().count() < n_words
+
+
+def test_cascade_does_not_sort_words_for_page_sizes(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # page sizes too many to be broadcast
+    try:
+        plan = cascade(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "ShuffledHashJoin [page_id" in plan and "SortMergeJoin [page_id" not in plan
+    assert plan.count("Sort [page_id") == 1
