@@ -12,10 +12,16 @@ from glyphmill.session import join_lookup
 START, END = "<s>", "</s>"
 
 
-def char_frequency(rows: DataFrame, text: str = "text") -> DataFrame:
-    """Occurrences of every code point: ``ch, n``."""
+def _chars(text: str, count_empty: bool) -> Column:
+    """Code points of a text, or with ``count_empty`` one empty string for a text that has none."""
+    return F.split(text, "") if count_empty else char_tokens(text)
+
+
+def char_frequency(rows: DataFrame, text: str = "text", count_empty: bool = False) -> DataFrame:
+    """Occurrences of every code point: ``ch, n``. With ``count_empty`` an empty text
+    counts as one empty string, as in SQL that splits it; a null text never counts."""
     return (
-        rows.select(F.explode(char_tokens(text)).alias("ch"))
+        rows.select(F.explode(_chars(text, count_empty)).alias("ch"))
         .groupBy("ch")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -76,13 +82,14 @@ def dataset_summary(samples: DataFrame, inspect_limit: int | None = None) -> Dat
     )
 
 
-def build_vocab(rows: DataFrame, text: str = "text", style: str = "pad_unk") -> DataFrame:
+def build_vocab(rows: DataFrame, text: str = "text", style: str = "pad_unk", count_empty: bool = False) -> DataFrame:
     """``ch, idx``: sorted characters from 1 on, plus the special entries.
 
     ``pad_unk`` has <PAD>=0 and <UNK> last, ``blank`` has <blank>=0. The set of
-    characters is bounded by Unicode, so one ordered pass numbers it.
+    characters is bounded by Unicode, so one ordered pass numbers it. ``count_empty``
+    is that of :func:`char_frequency`.
     """
-    chars = rows.select(F.explode(char_tokens(text)).alias("ch")).distinct()
+    chars = rows.select(F.explode(_chars(text, count_empty)).alias("ch")).distinct()
     numbered = chars.select(
         "ch", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("ch")).cast("long").alias("idx")
     )
