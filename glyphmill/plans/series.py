@@ -25,10 +25,11 @@ PIXELS = """px AS (SELECT l_suppkey AS series_id, l_orderkey % 40 AS y, l_partke
 
 
 def char_profile(spark, sf):
-    """Every character of a document is a column; letters are ink."""
+    """Every character of a document is a column; letters are ink. An empty document is
+    one column without ink."""
     docs = deal(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", F.octet_length("text"), part=2 << 20)
     cols = docs.select(F.col("doc_id").alias("series_id"), F.posexplode(F.split("text", "")).alias("pos", "ch"))
-    return cols.select("series_id", "pos", F.when(F.col("ch").isin(" ", "\n", "\t", "\r", ".", ","), 0).otherwise(F.ascii("ch") % 50 + 1).alias("value"))
+    return cols.select("series_id", "pos", F.when(F.col("ch").isin("", " ", "\n", "\t", "\r", ".", ","), 0).otherwise(F.ascii("ch") % 50 + 1).alias("value"))
 
 
 INK = r"""ink AS (SELECT doc_id AS series_id, unnest(range(len(cs))) AS pos, unnest(cs) AS ch

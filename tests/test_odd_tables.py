@@ -34,3 +34,9 @@ def odd_con(odd):
 def test_an_empty_text_counts_as_one_empty_string(spark, odd, odd_con, name):
     q = CATALOG[name]
     assert compare(q.build(spark, odd), odd_con, q.sql) is None
+
+
+@pytest.mark.parametrize("name", ["runs_above", "merge_close_runs", "drop_short_runs", "valley_gap_threshold", "ratio_gap_threshold"])
+def test_an_empty_text_is_one_column_without_ink(spark, odd, odd_con, name):
+    q = CATALOG[name]
+    assert compare(q.build(spark, odd), odd_con, q.sql) is None
