@@ -4,6 +4,7 @@ from pathlib import Path
 
 import pytest
 from oracle import compare, connect
+from pyspark.sql import functions as F
 
 from glyphmill.plans.all import CATALOG
 
@@ -40,3 +41,24 @@ def test_an_empty_text_counts_as_one_empty_string(spark, odd, odd_con, name):
 def test_an_empty_text_is_one_column_without_ink(spark, odd, odd_con, name):
     q = CATALOG[name]
     assert compare(q.build(spark, odd), odd_con, q.sql) is None
+
+
+@pytest.mark.parametrize("name", ["stratified_holdout", "filter_cascade", "symmetric_eviction"])
+def test_id_sums_past_a_long(spark, tmp_path, name):
+    """Where the sum leaves the range of a long, its low 64 bits come out, not an error."""
+    for file in Path(SF).glob("*.parquet"):
+        if file.stem != "documents":
+            (tmp_path / file.name).symlink_to(file)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).withColumn("doc_id", F.col("doc_id") + 9_000_000_000_000)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    con = connect(str(tmp_path))
+    con.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    q = CATALOG[name]
+    cur = con.execute(q.sql.replace("CAST(sum(id) AS BIGINT)", "sum(id)"))
+    at = [d[0] for d in cur.description].index("sum_id")
+    rows = cur.fetchall()
+    assert any(r[at] >= 1 << 63 for r in rows)
+    low = lambda n: (n + (1 << 63)) % (1 << 64) - (1 << 63)
+    want = [(*r[:at], low(r[at]), *r[at + 1 :]) for r in rows]
+    got = q.build(spark, str(tmp_path)).select(*[d[0] for d in cur.description]).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
